@@ -15,12 +15,10 @@ from fcverify.schema import (
 
 def visibility_m(token: Column) -> Column:
     """Visibility token to metres; 9999 and above mean 10 km or more."""
-    text = F.trim(F.ltrim(F.ltrim(F.trim(token), F.lit(">")), F.lit("<")))
-    miles = F.upper(text).endswith("SM")
-    number = F.when(miles, F.trim(F.regexp_replace(text, "(?i)SM$", ""))).otherwise(text)
-    value = number.try_cast("double")
+    text = F.upper(F.trim(F.regexp_replace(token, r"^\s*>*<*", "")))
+    value = F.trim(F.regexp_replace(text, "SM$", "")).try_cast("double")
     return (
-        F.when(miles, value * M_PER_STATUTE_MILE)
+        F.when(text.endswith("SM"), value * M_PER_STATUTE_MILE)
         .when(value >= 9999, F.lit(10000.0))
         .otherwise(value)
     )

@@ -13,8 +13,8 @@ def wind_speed(u: Column, v: Column) -> Column:
 
 
 def wind_from_direction(u: Column, v: Column) -> Column:
-    """Direction the wind blows from, degrees in [0, 360)."""
-    return F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0))
+    """Direction the wind blows from, degrees in [0, 360); calm counts as 180."""
+    return F.when((u == 0) & (v == 0), F.lit(180.0)).otherwise(F.pmod(F.degrees(F.atan2(-u, -v)), F.lit(360.0)))
 
 
 def nan_to_null(value: Column) -> Column:

@@ -19,22 +19,22 @@ def resolve_time(reference: Column, day: Column, hour: Column, minute: Column |
 
     The month before, the month itself and the month after are tried; a month
     without that day is skipped, hour 24 runs into the next day, and the earlier
-    candidate wins a tie. All three tries are plain expressions, so the whole
-    thing stays inside code generation.
+    candidate wins a tie.
     """
     minute = F.lit(0) if minute is None else F.coalesce(minute, F.lit(0))
-    month_start = F.trunc(reference, "month")
-    tries = []
-    for order, offset in enumerate((-1, 0, 1)):
-        month = F.add_months(month_start, offset)
-        midnight = F.try_make_timestamp(
-            F.year(month), F.month(month), day, F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")
-        )
-        moment = midnight + F.make_dt_interval(F.lit(0), hour, minute)
-        gap = F.abs(F.unix_micros(moment) - F.unix_micros(reference))
-        tries.append(F.when(moment.isNotNull(), F.struct(gap.alias("gap"), F.lit(order).alias("k"),
-                                                         moment.alias("t"))))
-    return F.least(*tries)["t"]
+    midnight = F.lit(0).cast("decimal(8,6)")
+
+    def candidate(offset):
+        month = F.add_months(F.trunc(reference, "month"), offset)
+        start = F.try_make_timestamp(F.year(month), F.month(month), day, F.lit(0), F.lit(0), midnight)
+        return start + F.make_dt_interval(F.lit(0), hour, minute)
+
+    candidates = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), candidate)
+    ranked = F.transform(
+        F.filter(candidates, lambda t: t.isNotNull()),
+        lambda t, k: F.struct(F.abs(F.unix_micros(t) - F.unix_micros(reference)).alias("gap"),
+                              k.alias("k"), t.alias("t")))
+    return F.array_min(ranked)["t"]
 
 
 def lead_hours(valid: Column, issued: Column) -> Column:
