@@ -50,4 +50,4 @@ def register(name: str, sql: str | None = None, views: dict[str, str] | None = N
 def load() -> None:
     """Import every catalog module once."""
     from fcverify.catalog import (  # noqa: F401
-        ingest, scores, serving_queries, verify)
+        feature_frames, ingest, scores, serving_queries, verify)

@@ -111,7 +111,7 @@ class Views:
             "icao", "valid_time", F.when(k % 10 == 9, "other").otherwise("era5").alias("source"),
             as_double((k % 40) * 0.5, "wind10m_spd"), as_double((k * 17) % 360, "wind10m_dir"),
             as_double(k % 50, "gust"), as_double(k % 30, "t2m_c"), as_double(k % 30 - k % 7, "d2m_c"),
-            as_double((k % 11) / 10.0, "tcc"), as_double((k % 3) / 4.0, "lcc"),
+            as_double((k % 9) / 8.0, "tcc"), as_double((k % 3) / 4.0, "lcc"),
             as_double((k % 5) / 8.0, "mcc"), as_double((k % 7) / 8.0, "hcc"),
             F.when(k % 3 != 0, as_double(k * 30, "cbh_m")).alias("cbh_m"),
             as_double((k % 4) * 0.25, "tp_mm"), as_double(k % 30 + 1000, "mslp_hpa"))
@@ -232,7 +232,7 @@ CTES: dict[str, str] = {
  from nation join region on n_regionkey = r_regionkey""",
     "nwp_v": """select icao, valid_time, case when k%10=9 then 'other' else 'era5' end as source,
   (k%40)*0.5::double as wind10m_spd, cast((k*17)%360 as double) as wind10m_dir, cast(k%50 as double) as gust,
-  cast(k%30 as double) as t2m_c, cast(k%30-k%7 as double) as d2m_c, (k%11)/10.0::double as tcc,
+  cast(k%30 as double) as t2m_c, cast(k%30-k%7 as double) as d2m_c, (k%9)/8.0::double as tcc,
   (k%3)/4.0::double as lcc, (k%5)/8.0::double as mcc, (k%7)/8.0::double as hcc,
   case when k%3=0 then null else cast(k*30 as double) end as cbh_m, (k%4)*0.25::double as tp_mm,
   cast(1000+k%30 as double) as mslp_hpa

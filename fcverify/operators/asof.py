@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_SECONDS = 3600
@@ -70,21 +70,26 @@ def _answer(probes: DataFrame, obs: DataFrame, by: str, carry: Sequence[str], ob
     )
 
 
-def asof_join(left: DataFrame, obs: DataFrame, probe_time: str | Column, payload: Sequence[str], *,
+def asof_keys(left: DataFrame, obs: DataFrame, probe_time: str, payload: Sequence[str], *,
               by: str = "icao", obs_time: str = "observed_at", obs_id: str = "obs_id",
               direction: str = "backward", into: str = "match",
               bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """``left`` plus a struct ``into`` holding the latest observation at or before
-    ``probe_time`` (or the first at or after it), NULL where there is none.
+    """Distinct (by, probe_time) of ``left`` with the struct ``into`` of its match."""
+    sign = {"backward": 1, "forward": -1}[direction]
+    probes = (left.select(by, probe_time).filter(F.col(probe_time).isNotNull()).distinct()
+              .withColumn("_key", F.unix_micros(probe_time) * sign))
+    answers = _answer(probes, obs, by, [probe_time], obs_time, obs_id, payload, sign, bucket_seconds)
+    return answers.select(by, probe_time, F.col("match").alias(into))
+
 
-    At one observation time the row with the largest id counts.
+def asof_join(left: DataFrame, obs: DataFrame, probe_time: str, payload: Sequence[str], *,
+              by: str = "icao", into: str = "match", **options) -> DataFrame:
+    """``left`` plus a struct ``into`` holding the latest observation at or before
+    ``probe_time`` (with direction="forward" the first at or after it), NULL where
+    there is none. At one observation time the row with the largest id counts.
     """
-    sign = {"backward": 1, "forward": -1}[direction]
-    probe = F.col(probe_time) if isinstance(probe_time, str) else probe_time
-    left = left.withColumn("_key", F.unix_micros(probe) * sign)
-    probes = left.select(by, "_key").filter(F.col("_key").isNotNull()).distinct()
-    answers = _answer(probes, obs, by, [], obs_time, obs_id, payload, sign, bucket_seconds)
-    return (left.join(answers.withColumnRenamed("match", into), [by, "_key"], "left").drop("_key"))
+    answers = asof_keys(left, obs, probe_time, payload, by=by, into=into, **options)
+    return left.join(answers, [by, probe_time], "left")
 
 
 def asof_lags(left: DataFrame, obs: DataFrame, t0: str, lags_h: Sequence[int], payload: Sequence[str],
