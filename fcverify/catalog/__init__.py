@@ -50,4 +50,5 @@ def register(name: str, sql: str | None = None, views: dict[str, str] | None = N
 def load() -> None:
     """Import every catalog module once."""
     from fcverify.catalog import (  # noqa: F401
-        feature_frames, ingest, scores, serving_queries, verify)
+        ensembles, feature_frames, ingest, learning, scores, serving_queries,
+        streams, verify)

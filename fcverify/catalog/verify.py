@@ -187,21 +187,6 @@ def summary(v):
     return station_summary(v.scored)
 
 
-@register("own_window_verification", f"""select taf_id, count(*) as n, sum(vis_err_m) as vis_err,
- count(*) filter (where category_outcome in ('hit','correct_neg')) as right_hours from ({VERIF_SQL.format('owned_v')}) s group by 1""",
-          {"owned_v": f"""select s.* from scored_v s join ({_WINDOW.format(hours='hours_v', lower="date_trunc('hour', h.valid_from)")}) w
-  on w.taf_id = s.taf_id and w.valid_hour = s.valid_hour join best_v b on b.icao = s.icao and b.valid_hour = s.valid_hour and b.obs_id = w.obs_id"""})
-def own_window_verification(v):
-    """Hours whose own-window observation is also the overall nearest one."""
-    rows = V.score_own_window(v.taf, v.obs, v.groups)
-    both = align_hours_within(hour_grid(v.taf), v.obs, []).select("taf_id", "valid_hour", F.col("obs.obs_id").alias("own"))
-    near = align_hours(hour_grid(v.taf), v.obs, []).select("taf_id", "valid_hour", F.col("obs.obs_id").alias("own"))
-    same = both.join(near, ["taf_id", "valid_hour", "own"], "left_semi").select("taf_id", "valid_hour")
-    return (rows.join(same, ["taf_id", "valid_hour"], "left_semi").groupBy("taf_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("vis_err_m").alias("vis_err"),
-                 F.count_if(F.col("category_outcome").isin("hit", "correct_neg")).alias("right_hours")))
-
-
 @register("persistence_bulk", VERIF_SQL.format("verif_v") + " where scoring_profile = 'persistence'")
 def persistence_bulk(v):
     return V.score_profile(v.taf, v.obs, v.groups, "persistence")

@@ -179,7 +179,7 @@ def _rank(c: str) -> str:
 _ADVERSE = "in ('IFR','LIFR')"
 
 _SCORE = f"""
- select taf_id, x.icao, x.valid_hour,
+ select x.taf_id, x.icao, x.valid_hour,
   cast(floor(date_diff('microsecond', issued_at, x.valid_hour) / 3600000000.0) as integer) as lead_time_h,
   scoring_profile, p_cat as fcst_category, o.flight_category as obs_category,
   case when o.flight_category {_ADVERSE} and w then 'hit' when o.flight_category {_ADVERSE} then 'miss'
@@ -329,3 +329,15 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in order) + "\n" + body
+
+
+def own_window_score(name: str, obs: str, lower: str, hours: str) -> dict[str, str]:
+    """Oracle views that score ``hours`` against each forecast's own observations."""
+    near = f"{name}near_v"
+    pick = f"""select * from (select h.taf_id, h.valid_hour, o.*, row_number() over (partition by h.taf_id, h.valid_hour order by
+   abs(date_diff('microsecond', h.valid_hour, o.observed_at)), o.observed_at desc, o.obs_id desc) as rn
+ from {hours} h join {obs} o on o.icao = h.icao and o.observed_at between h.valid_hour - interval 40 minute and h.valid_hour + interval 40 minute
+  and o.observed_at >= {lower} and o.observed_at < h.valid_to) where rn = 1"""
+    score = _SCORE.replace("allhours_v", hours).replace(
+        "best_v o on o.icao = x.icao and o.valid_hour", f"{near} o on o.taf_id = x.taf_id and o.valid_hour")
+    return {near: pick, f"{name}_v": score}
