@@ -36,9 +36,18 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Give every core rows to work on when the table is a single small split.
+
+        Decoding and expansion are compute-bound. A large table has more splits
+        than cores and passes through without a shuffle.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     @cached_property
     def events(self) -> DataFrame:
-        return (self.table("events")
+        return (self.spread(self.table("events"))
                 .withColumn("ts", F.col("ts").cast("timestamp"))
                 .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
                 .withColumn("icao", F.concat(F.lit("ST"), F.lpad((F.col("user_id") % 25).cast("string"),

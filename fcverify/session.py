@@ -17,6 +17,10 @@ RUNTIME_CONF = {
 }
 
 
+# Call sites in error messages cost a few JVM calls per expression; plans here are long.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -29,7 +33,7 @@ def build_session(app: str = "fcverify", master: str | None = None, **conf) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **conf}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 
