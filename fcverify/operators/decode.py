@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fcverify.functions import conditions as C
 from fcverify.functions.timetokens import resolve_time
+from fcverify.operators.barrier import once
 from fcverify.schema import HPA_PER_INHG
 
 # Message grammar, fixed by the code forms.
@@ -42,12 +43,6 @@ def clean(raw: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator, which filters and projections further up are
-    not pushed through: expensive columns below it are evaluated once per row."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def _part(text: Column, pattern: str, group: int) -> Column:
     """A regular expression group, NULL when it is absent or empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -118,7 +113,7 @@ def decode_observations(raw: DataFrame, reference: str = "observed_at") -> DataF
         day.alias("_d"), hour.alias("_h"), minute.alias("_m"),
         F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(head, REPORT_HEAD, ""), OBSERVATION_TREND, " "))
         .alias("_body"))
-    rows = with_conditions(_once(cut), "_body").withColumns({
+    rows = with_conditions(once(cut), "_body").withColumns({
         "observed_at": F.when(F.col("_d").isNull(), F.col("_ref")).otherwise(
             resolve_time(F.col("_ref"), F.col("_d"), F.col("_h"), F.col("_m"))),
         "temp_c": _signed(_part(F.col("_body"), TEMPERATURES, 1)),
@@ -149,14 +144,14 @@ def split_forecasts(raw: DataFrame) -> DataFrame:
     Segment 0 is the base part; each following one is a change group.
     """
     text = raw.select("id", "issued_at", F.split(clean(F.col("raw_text")), CHANGE_START).alias("_seg"))
-    text = _once(text)
+    text = once(text)
     base = F.concat(F.lit(" "), F.trim(F.col("_seg")[0]), F.lit(" "))
     number = lambda i: _part(base, VALIDITY, i).try_cast("int")
     timed = text.select(
         "id", "issued_at", "_seg", F.regexp_extract(F.ltrim(base), REPORT_HEAD, 1).alias("icao"),
         *[number(i).alias(f"_v{i}") for i in (1, 2, 3, 4)])
-    timed = _once(timed).withColumn("valid_from", resolve_time(F.col("issued_at"), F.col("_v1"), F.col("_v2")))
-    timed = _once(timed).withColumn("valid_to", resolve_time(F.col("valid_from"), F.col("_v3"), F.col("_v4")))
+    timed = once(timed).withColumn("valid_from", resolve_time(F.col("issued_at"), F.col("_v1"), F.col("_v2")))
+    timed = once(timed).withColumn("valid_to", resolve_time(F.col("valid_from"), F.col("_v3"), F.col("_v4")))
     return timed.drop("_v1", "_v2", "_v3", "_v4")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fcverify.functions import nwp as N
+from fcverify.operators.barrier import once
 from fcverify.schema import NWP_FIELDS
 
 
@@ -69,8 +70,8 @@ def station_cells(grid: DataFrame, stations: DataFrame) -> DataFrame:
     """(icao, latitude, longitude): nearest grid latitude and longitude, each on its own."""
     placed = stations.select("icao", "lat", "lon", _axis(grid, "latitude").alias("_lats"),
                              _axis(grid, "longitude").alias("_lons"))
-    return placed.select("icao", _nearest_on(F.col("_lats"), F.col("lat")).alias("latitude"),
-                         _nearest_on(F.col("_lons"), F.col("lon")).alias("longitude"))
+    return once(placed.select("icao", _nearest_on(F.col("_lats"), F.col("lat")).alias("latitude"),
+                              _nearest_on(F.col("_lons"), F.col("lon")).alias("longitude")))
 
 
 def extract_points(grid: DataFrame, stations: DataFrame, source: str = "era5") -> DataFrame:

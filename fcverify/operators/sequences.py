@@ -143,15 +143,21 @@ def sequence_windows(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_l
     place = stations.select("icao", F.array(*[F.col(c).cast("float") for c in ("lat", "lon", "elevation_m")])
                             .alias("x_static"))
     floats = lambda s, names: [s[n].cast("float") for n in names]
+    # Stated as a condition too, so that a later filter on an element cannot be
+    # evaluated on the short windows that are being filtered out here.
+    whole = (F.size("_past") == past_len) & (F.size("_next") == horizon)
+    arrays = {
+        "x_past": F.transform("_past", lambda p: F.array(*floats(p, PAST_FEATURES))),
+        "x_future": F.transform("_next", lambda n, k: F.array(
+            *floats(n["ahead"], COVARIATES), (k + 1).cast("float"), *floats(n["ahead"], CYCLES))),
+        "y_reg": F.transform("_next", lambda n: F.array(*floats(n["target"], TARGETS))),
+        "y_cat": F.transform("_next", lambda n: n["target"]["cat"].cast("long")),
+        "y_mask": F.transform("_next", lambda n: n["target"]["mask"].cast("float")),
+    }
+    built = {name: F.when(whole, array).alias(name) for name, array in arrays.items()}
     return kept.join(place, "icao").select(
-        "icao", F.col("hour").alias("t0"),
-        F.transform("_past", lambda p: F.array(*floats(p, PAST_FEATURES))).alias("x_past"),
-        F.transform("_next", lambda n, k: F.array(
-            *floats(n["ahead"], COVARIATES), (k + 1).cast("float"), *floats(n["ahead"], CYCLES))).alias("x_future"),
-        "x_static",
-        F.transform("_next", lambda n: F.array(*floats(n["target"], TARGETS))).alias("y_reg"),
-        F.transform("_next", lambda n: n["target"]["cat"].cast("long")).alias("y_cat"),
-        F.transform("_next", lambda n: n["target"]["mask"].cast("float")).alias("y_mask"))
+        "icao", F.col("hour").alias("t0"), built["x_past"], built["x_future"], "x_static",
+        built["y_reg"], built["y_cat"], built["y_mask"])
 
 
 def station_ids(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_len: int = PAST_LEN,

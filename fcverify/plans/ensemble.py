@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fcverify.functions import scoring as S
 from fcverify.operators.thresholds import best_blend, best_threshold
-from fcverify.plans.ladder import calibrated, fit_calibrator
+from fcverify.plans.ladder import calibrated, detached, fit_calibrator
 from fcverify.schema import LEADS_H
 from fcverify.session import checkpoint
 
@@ -63,11 +63,11 @@ class Stack:
 
     def fit(self, validation: DataFrame, event: str = "event") -> Stack:
         n = validation.count()
-        self.model = Pipeline(stages=[
+        self.model = detached(Pipeline(stages=[
             VectorAssembler(inputCols=self.bases, outputCol="_bases"),
             LogisticRegression(featuresCol="_bases", labelCol=event, maxIter=1000, regParam=1.0 / max(n, 1),
                                standardization=False),
-        ]).fit(validation)
+        ]).fit(validation))
         self.calibrator, self.threshold = fit_calibrator(self._raw(validation), "p_raw", event)
         return self
 
@@ -96,11 +96,11 @@ class LeadStack(Stack):
         if self.leads:
             known = self._spread(validation.filter(F.col(lead).isin(*self.leads)))
             n = known.count()
-            self.model = Pipeline(stages=[
+            self.model = detached(Pipeline(stages=[
                 VectorAssembler(inputCols=self._columns(), outputCol="_bases"),
                 LogisticRegression(featuresCol="_bases", labelCol=event, maxIter=1000, fitIntercept=False,
                                    regParam=1.0 / max(n, 1), standardization=False),
-            ]).fit(known)
+            ]).fit(known))
         self.calibrator, self.threshold = fit_calibrator(self._raw(validation), "p_raw", event)
         return self
 

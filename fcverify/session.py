@@ -38,13 +38,11 @@ def build_session(app: str = "fcverify", master: str | None = None, **conf) -> S
     return prepare(builder.getOrCreate())
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return it with its lineage cut.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in
+    ``spark.checkpoint.dir``. Only a local session without that setting gets a
+    temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -52,4 +50,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="fcverify-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and return it with its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
