@@ -39,7 +39,7 @@ INTENSITY_WORDS = {"-": "LIGHT", "+": "HEAVY", "VC": "IN_VICINITY"}
 
 def clean(raw: Column) -> Column:
     """Upper-case words separated by single spaces, with a space at both ends."""
-    text = F.regexp_replace(F.upper(raw), r"[=\s]+$", "")
+    text = F.rtrim(F.upper(raw), F.lit("= \t\r\n"))
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(" "))
 
 
