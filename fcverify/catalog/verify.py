@@ -11,7 +11,7 @@ from fcverify.functions.timetokens import hour_floor, lead_bucket, lead_hours
 from fcverify.operators import forecasters as FC
 from fcverify.operators import verification as V
 from fcverify.operators.asof import asof_join, asof_lags, latest_per_key
-from fcverify.operators.expand import expand, hour_grid, prevailing_steps, nest_groups
+from fcverify.operators.expand import hour_grid, nest_groups, prevailing_steps
 from fcverify.operators.nearest import align_hours, align_hours_within, hour_candidates
 from fcverify.operators.rollups import station_summary
 from fcverify.schema import CEILING_BANDS_FT, VISIBILITY_BANDS_M

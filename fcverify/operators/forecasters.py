@@ -16,7 +16,7 @@ from fcverify.functions.conditions import category_of_rank, category_rank, fligh
 from fcverify.operators.asof import asof_join
 from fcverify.operators.expand import expand, hour_grid, only_prevailing
 from fcverify.operators.quantiles import group_median, group_mode
-from fcverify.schema import ALIGN_TOLERANCE_S, ELEMENTS, STATE
+from fcverify.schema import ALIGN_TOLERANCE_S, ELEMENTS
 
 STATE_COLUMNS = (*ELEMENTS, "flight_category")
 
