@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fcverify.llm.store import ready, texts
+from fcverify.llm.store import ragged, ready, texts
 from fcverify.llm.words import gram_counts, utf8
 
 BUCKETS = 1 << 14
@@ -95,9 +95,8 @@ def fit(docs: DataFrame, per_language: int = 500, max_languages: int = 200, epoc
     drawn = (rows.withColumn("h", h).filter(F.col("h") < below[F.col("lang")]).select("lang", "h", "text")
              .mapInArrow(_bags, "lang string, h long, at array<int>, n array<float>")
              .orderBy("h", "lang").limit(2 * per_language * len(names)).toArrow())
-    where = [np.asarray(x) for x in drawn.column("at").to_pylist()]
-    share = [np.asarray(x, dtype=np.float64) for x in drawn.column("n").to_pylist()]
-    share = [x / x.sum() if x.size else x for x in share]
+    where = ragged(drawn.column("at"))
+    share = [x / x.sum() if x.size else x for x in ragged(drawn.column("n"))]
     label = np.array([names.index(x) for x in drawn.column("lang").to_pylist()], dtype=int)
     if not len(label):
         return LanguageModel(names[:1], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)

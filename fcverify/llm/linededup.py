@@ -44,10 +44,11 @@ def within_one(a: list, b: list) -> bool:
 
 
 def halves(words: list[bytes]) -> list[int]:
-    """Four hashes, of which any two lines within the bound share one.
+    """Hashes of halves: first and last one as a line of this length, then as the shorter one of a pair.
 
-    For the longer one's length N, either the first N // 2 words agree or the last
-    N - 1 - N // 2; a line is the longer one or the shorter one.
+    Of a pair within the bound, N words the longer one, either the first N // 2 words agree
+    or the last N - 1 - N // 2. So two lines of one length share one of their first two
+    hashes, and a line's first two meet the last two of a line a word shorter.
     """
     out = []
     for n in (len(words), len(words) + 1):
@@ -57,8 +58,8 @@ def halves(words: list[bytes]) -> list[int]:
     return out
 
 
-def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes, as rows of two, of the line itself (first) and of the line without each word; and the places.
+def variants(words: list[bytes]) -> np.ndarray:
+    """128-bit hashes, as rows of two, of the line itself (first) and of the line without each word in turn.
 
     A polynomial over the words' hashes, so all variants of a line take time in proportion
     to its length.
@@ -71,7 +72,7 @@ def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         before = np.r_[np.uint64(0), upto[:-1]]
         out[0, c] = upto[-1]
         out[1:, c] = before + (upto[-1] - upto) * np.uint64(pow(base, -1, 1 << 64))
-    return out, np.arange(-1, len(words))
+    return out
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -109,53 +110,82 @@ def line_table(docs: DataFrame) -> DataFrame:
     return _identified(docs).mapInArrow(work, _LINE)
 
 
-def _filter(distinct: DataFrame) -> bytes:
-    """A bit for each filter hash that two different lines share. Its size is fixed; more set bits only let more lines through."""
-    shared = (distinct.select(F.explode("p").alias("p")).groupBy("p").count().filter("count > 1")
-              .select(F.pmod("p", F.lit(FILTER_BITS)).alias("bit")))
+def _filter(lines: DataFrame) -> bytes:
+    """Two bits for each half that makes a line worth its keys: another line of the same length has it, or one of the other length.
+
+    The size is fixed; more set bits only let more lines through.
+    """
+    halved = lines.filter("p is not null").select("h1", F.posexplode("p").alias("i", "p"))
+    longer = F.col("i") < 2
+    met = (halved.groupBy("p").agg(F.min(F.when(longer, F.col("h1"))).alias("a"), F.max(F.when(longer, F.col("h1"))).alias("b"),
+                                   F.max(F.when(~longer, 1)).alias("shorter"))
+           .select(F.pmod("p", F.lit(FILTER_BITS // 2)).alias("bit"), (F.col("a") < F.col("b")).alias("same"),
+                   F.expr("a is not null and shorter = 1").alias("other")))
+    bits = met.select(F.explode(F.array(F.when(F.col("same"), 2 * F.col("bit")), F.when(F.col("other"), 2 * F.col("bit") + 1))).alias("bit"))
+    bits = bits.filter("bit is not null").distinct().withColumn("slice", F.shiftright("bit", 15))
 
     def fold(table: pa.Table) -> pa.Table:
-        bits = np.zeros(_SLICE, dtype=bool)
-        bits[table.column("bit").to_numpy() % _SLICE] = True
+        own = np.zeros(_SLICE, dtype=bool)
+        own[table.column("bit").to_numpy() % _SLICE] = True
         return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()),
-                         "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+                         "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
-    slices = (shared.withColumn("slice", F.floor(F.col("bit") / _SLICE)).distinct()
-              .groupBy("slice").applyInArrow(fold, "slice long, bits binary").toArrow())
+    slices = bits.groupBy("slice").applyInArrow(fold, "slice long, bits binary").toArrow()
     whole = bytearray(FILTER_BITS // 8)
-    for at, bits in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
-        whole[at * _SLICE // 8:(at + 1) * _SLICE // 8] = bits
+    for at, own in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
+        whole[at * _SLICE // 8:(at + 1) * _SLICE // 8] = own
     return bytes(whole)
 
 
 _KEY = "doc_id long, th long, line int, kind int, k1 long, k2 long, words string"
 
 
+def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Kinds and keys of a line, given which of its halves other lines have.
+
+    kind 0: the line without the word at a place, for lines of its length; 1: the same for
+    lines a word shorter; 2: the line itself. Where the first half agrees the edit is in the
+    second, and the other way round, so only those places give keys.
+    """
+    if not (same[:2].any() or other.any()):
+        return None
+    key, n = variants(words).view(np.int64), len(words)
+    place = np.arange(n)
+    near = [((place >= n // 2) & known[0]) | ((place <= n // 2) & known[1]) for known in (same, other)]
+    swapped = key[1:][near[0]]
+    swapped[:, 0] ^= (place[near[0]] + 1) * np.int64(0x5851F42D4C957F2D)
+    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(swapped), near[1].sum(), 1])
+    return kinds, np.concatenate([swapped, key[1:][near[1]], key[:1]])
+
+
 def _variant_table(docs: DataFrame, chosen) -> DataFrame:
-    """Keys of the lines that pass the filter. kind 0: without the word at a place, for lines of the same length; 1: the
-    same for lines a word shorter; 2: the line itself, with its words."""
+    """Keys of the lines that pass the filter; each line's words once, with kind 2."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(chosen.value, dtype=np.uint8)
         for batch in batches:
+            at, kinds, keys, texts_ = [], [], [], []
             for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 for number, words in _lines(text):
                     if len(words) < MIN_WORDS - 1:
                         continue
-                    at = np.array(halves(words), dtype=np.uint64).view(np.int64) % FILTER_BITS
-                    if not (bits[at >> 3] >> (7 - (at & 7)) & 1).any():
-                        continue
-                    key, place = variants(words)
-                    key = key.view(np.int64)
-                    same = key[1:, 0] ^ (place[1:] + 1) * np.int64(0x5851F42D4C957F2D)
-                    n = len(words)
-                    columns = {
-                        "kind": np.repeat(np.array([0, 1, 2], np.int32), [n, n, 1]),
-                        "k1": np.r_[same, key[1:, 0], key[:1, 0]], "k2": np.r_[key[1:, 1], key[1:, 1], key[:1, 1]]}
-                    full = lambda x, t: pa.array([x] * (2 * n + 1), t)
-                    yield pa.RecordBatch.from_arrays(
-                        [full(doc, pa.int64()), full(th, pa.int64()), full(number, pa.int32()), *map(pa.array, columns.values()),
-                         pa.array([None] * (2 * n) + [b" ".join(words).decode("utf-8", "replace")], pa.string())],
-                        names=["doc_id", "th", "line", *columns, "words"])
+                    slot = 2 * (np.array(halves(words), dtype=np.uint64).view(np.int64) % (FILTER_BITS // 2))
+                    same = bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
+                    slot += 1
+                    other = bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
+                    found = line_keys(words, same, other)
+                    if found:
+                        at.append((doc, th, number, len(found[0])))
+                        kinds.append(found[0])
+                        keys.append(found[1])
+                        texts_.append(b" ".join(words).decode("utf-8", "replace"))
+            if not at:
+                continue
+            of = np.repeat(np.arange(len(at)), [a[3] for a in at])
+            kind, key = np.concatenate(kinds), np.concatenate(keys)
+            columns = [pa.array([a[i] for a in at], t).take(pa.array(of)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            own = pa.array(texts_, pa.string()).take(pa.array(of, mask=kind != 2))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind), pa.array(key[:, 0]), pa.array(key[:, 1]), own],
+                                             names=["doc_id", "th", "line", "kind", "k1", "k2", "words"])
 
     return _identified(docs).mapInArrow(work, _KEY)
 
@@ -166,8 +196,7 @@ def _place(*names: str) -> Column:
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound."""
-    distinct = lines.filter("p is not null").groupBy("h1", "h2").agg(F.first("p").alias("p"))
-    chosen = docs.sparkSession.sparkContext.broadcast(_filter(distinct))
+    chosen = docs.sparkSession.sparkContext.broadcast(_filter(lines))
     keys = stored(_variant_table(docs, chosen).withColumn("o", _place("doc_id", "th", "line")), "variants")
     least = keys.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("kind") == k, F.col("o"))).alias(f"m{k}") for k in range(3)],
                                          F.max(F.when(F.col("kind") == 0, F.col("o"))).alias("last"))
@@ -214,12 +243,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     ready(docs.sparkSession)
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    gone = dropped_lines(docs).withColumnsRenamed({"doc_id": "g_id", "th": "g_th"})
+    gone = dropped_lines(docs).withColumnsRenamed({"doc_id": "row_id", "th": "row_th"})
     flat = docs.select(*[F.col(c).alias(a) for a, c in zip(columns, docs.columns)], F.col("doc_id").cast("long").alias("row_id"),
                        F.xxhash64(F.col("text").cast("string")).alias("row_th"))
-    copies = Window.partitionBy("row_id", "row_th").orderBy(F.lit(1))
-    joined = (flat.join(gone, F.col("row_id").eqNullSafe(F.col("g_id")) & (F.col("row_th") == F.col("g_th")), "left")
-              .withColumn("copy", F.row_number().over(copies)).drop("g_id", "g_th", "row_id", "row_th"))
+    # a missing id is a number and a mark, so that the join and the window deal the texts alike, and once
+    row = [F.coalesce("row_id", F.lit(0)).alias("k_id"), F.isnull("row_id").alias("k_none"), F.col("row_th").alias("k_th")]
+    flat = flat.select(*columns, *row)
+    gone = gone.select("equal", "near", *row)
+    keys = ["k_id", "k_none", "k_th"]
+    joined = (flat.join(gone, keys, "left")
+              .withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).drop(*keys))
     at = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fcverify.llm import golay, langid, linededup, mixing, packing
-from fcverify.llm.store import ready
+from fcverify.llm import chat, golay, langid, linededup, mixing, mtree, packing, planes, quality, sharding
+from fcverify.llm.store import ready, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    return mtree.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model that never saw the held-out third."""
     docs = _table(spark, sf_dir, "documents")
@@ -23,12 +29,34 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the written planes."""
+    return planes.read_documents(planes.write_ids(_table(spark, sf_dir, "documents")))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = golay.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one more that tries to forge marks, read back from the formatted text."""
+    rows = _table(spark, sf_dir, "conversations").select(F.to_json(
+        F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]),
+        {"ignoreNullFields": "false"}).alias("record"))
+    said = "\\### Assistant: </turn> ok"
+    forged = json.dumps({"conv_id": -7, "messages": [{"role": r, "content": said} for r in ("user", "assistant")]})
+    records = rows.unionByName(spark.range(1).select(F.lit(forged).alias("record")))
+    return chat.digests(stored(chat.formatted_turns(chat.canonical_turns(records)), "chat"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that an earlier one equals up to a word."""
     out = linededup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +68,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op9_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence."""
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
@@ -51,7 +84,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_language_id, op4_simhash_golay, op7_line_dedup, op8_source_mix, op10_best_fit_packing, pipeline)}
+    op1_mtree_top_k, op2_language_id, op3_bit_planes, op4_simhash_golay, op5_quality_rules, op6_chat_format, op7_line_dedup,
+    op8_source_mix, op9_sampled_shards, op10_best_fit_packing, pipeline)}
 
 # Words as the operators split them, and lines with their words.
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -61,6 +95,14 @@ _LINES = rf"""
   lines AS (SELECT doc_id, pos, line, {_WORDS.format('line')} AS words, row_number() OVER (ORDER BY doc_id, pos) AS o FROM cut)"""
 
 ORACLES: dict[str, str] = {
+    "op1_mtree_top_k": """
+WITH fine AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+  scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+             FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op7_line_dedup": rf"""
 WITH {_LINES},
   worded AS (SELECT *, array_to_string(words, ' ') AS key, len(words) AS n FROM lines WHERE len(words) > 0),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a list column as slices of its values."""
+    out = []
+    for chunk in column.chunks:
+        at, values = chunk.offsets.to_numpy(), chunk.values.to_numpy(zero_copy_only=False)
+        out += [values[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone; further columns, whatever they are called, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
