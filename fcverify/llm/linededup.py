@@ -30,6 +30,8 @@ MIN_WORDS = 5
 # Bits of the filter that says which lines can have a neighbour at all; 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 _SLICE = 1 << 15
+# Lines with keys that a task holds before it writes them.
+HELD = 5000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -140,15 +142,13 @@ def _filter(lines: DataFrame) -> bytes:
 _KEY = "doc_id long, th long, line int, kind int, k1 long, k2 long, words string"
 
 
-def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Kinds and keys of a line, given which of its halves other lines have.
 
     kind 0: the line without the word at a place, for lines of its length; 1: the same for
     lines a word shorter; 2: the line itself. Where the first half agrees the edit is in the
     second, and the other way round, so only those places give keys.
     """
-    if not (same[:2].any() or other.any()):
-        return None
     key, n = variants(words).view(np.int64), len(words)
     place = np.arange(n)
     near = [((place >= n // 2) & known[0]) | ((place <= n // 2) & known[1]) for known in (same, other)]
@@ -159,33 +159,42 @@ def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[
 
 
 def _variant_table(docs: DataFrame, chosen) -> DataFrame:
-    """Keys of the lines that pass the filter; each line's words once, with kind 2."""
+    """Keys of the lines that pass the filter; each line's words once, with kind 2.
+
+    Of equal lines that a task meets while it holds less than HELD lines only the earliest
+    gives keys: the others have an earlier equal line and go for that.
+    """
+    def emit(held: dict) -> pa.RecordBatch:
+        kinds, keys = zip(*[line_keys(line.split(b" "), *found) for line, (_, found) in held.items()])
+        of = np.repeat(np.arange(len(held)), list(map(len, kinds)))
+        kind, key = np.concatenate(kinds), np.concatenate(keys)
+        places = [o for o, _ in held.values()]
+        columns = [pa.array([o[i] for o in places], t).take(pa.array(of)) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
+        own = pa.array([line.decode("utf-8", "replace") for line in held], pa.string()).take(pa.array(of, mask=kind != 2))
+        return pa.RecordBatch.from_arrays([*columns, pa.array(kind), pa.array(key[:, 0]), pa.array(key[:, 1]), own],
+                                          names=["doc_id", "th", "line", "kind", "k1", "k2", "words"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(chosen.value, dtype=np.uint8)
+        bits, held = np.frombuffer(chosen.value, dtype=np.uint8), {}
         for batch in batches:
-            at, kinds, keys, texts_ = [], [], [], []
             for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 for number, words in _lines(text):
                     if len(words) < MIN_WORDS - 1:
                         continue
-                    slot = 2 * (np.array(halves(words), dtype=np.uint64).view(np.int64) % (FILTER_BITS // 2))
-                    same = bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
-                    slot += 1
-                    other = bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 > 0
-                    found = line_keys(words, same, other)
-                    if found:
-                        at.append((doc, th, number, len(found[0])))
-                        kinds.append(found[0])
-                        keys.append(found[1])
-                        texts_.append(b" ".join(words).decode("utf-8", "replace"))
-            if not at:
-                continue
-            of = np.repeat(np.arange(len(at)), [a[3] for a in at])
-            kind, key = np.concatenate(kinds), np.concatenate(keys)
-            columns = [pa.array([a[i] for a in at], t).take(pa.array(of)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            own = pa.array(texts_, pa.string()).take(pa.array(of, mask=kind != 2))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kind), pa.array(key[:, 0]), pa.array(key[:, 1]), own],
-                                             names=["doc_id", "th", "line", "kind", "k1", "k2", "words"])
+                    o, line = (doc is not None, doc, th, number), b" ".join(words)
+                    if line in held:
+                        if o < held[line][0]:
+                            held[line] = (o, held[line][1])
+                        continue
+                    slot = [2 * (_signed(h) % (FILTER_BITS // 2)) for h in halves(words)]
+                    found = [np.array([bits[x >> 3] >> (7 - (x & 7)) & 1 for x in (s + i for s in slot)], dtype=bool) for i in (0, 1)]
+                    if found[0][:2].any() or found[1].any():
+                        held[line] = ((o[0], doc, th, number), found)
+                if len(held) >= HELD:
+                    yield emit(held)
+                    held = {}
+        if held:
+            yield emit(held)
 
     return _identified(docs).mapInArrow(work, _KEY)
 
@@ -198,12 +207,14 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound."""
     chosen = docs.sparkSession.sparkContext.broadcast(_filter(lines))
     keys = stored(_variant_table(docs, chosen).withColumn("o", _place("doc_id", "th", "line")), "variants")
-    least = keys.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("kind") == k, F.col("o"))).alias(f"m{k}") for k in range(3)],
-                                         F.max(F.when(F.col("kind") == 0, F.col("o"))).alias("last"))
-    least = least.filter("m0 < last or (m1 is not null and m2 is not null)").drop("last")
-    earlier = F.when(F.col("kind") == 0, F.col("m0")).when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1"))
-    found = (keys.select("o", "kind", "k1", "k2").join(least, ["k1", "k2"]).withColumn("e", earlier)
-             .filter("e < o").groupBy("o").agg(F.collect_set("e").alias("e")).withColumn("e", F.explode("e")))
+    rows = keys.select("o", "kind", "k1", "k2")
+    swapped, moved = rows.filter("kind = 0"), rows.filter("kind > 0")
+    least = swapped.groupBy("k1", "k2").agg(F.min("o").alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    sides = moved.groupBy("k1", "k2").agg(*[F.min(F.when(F.col("kind") == k, F.col("o"))).alias(f"m{k}") for k in (1, 2)])
+    sides = sides.filter("m1 is not null and m2 is not null")
+    found = (swapped.join(least, ["k1", "k2"]).select("o", "e")
+             .unionByName(moved.join(sides, ["k1", "k2"]).select("o", F.when(F.col("kind") == 1, F.col("m2")).otherwise(F.col("m1")).alias("e")))
+             .filter("e < o").distinct())
     own = keys.filter("kind = 2").select("o", "words")
 
     def same(a: Column, b: Column) -> Column:
