@@ -10,6 +10,7 @@ import os
 import time
 
 from fcverify import catalog
+from fcverify.fixtures import DEAL_EVENTS
 from fcverify.session import build_session
 
 HEADLINE = (
@@ -24,7 +25,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        DEAL_EVENTS: cpus})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.load()
     catalog.QUERIES["obs_category"](spark, sf_dir).collect()  # start-up is not measured

@@ -85,16 +85,18 @@ def paired_eval(v):
     return _pairs(v)
 
 
-@register("pair_cells", """select champion, challenger, count(*) as n from pair_v group by 1, 2""", GATE)
+@register("pair_cells", """select a.o as champion, b.o as challenger, count(p.taf_id) as n
+ from (select unnest(['hit','miss','false_alarm','correct_neg']) as o) a, (select unnest(['hit','miss','false_alarm','correct_neg']) as o) b
+ left join pair_v p on p.champion = a.o and p.challenger = b.o group by 1, 2""", GATE)
 def pair_cells(v):
     cells = B.pair_cells(_pairs(v)).select(F.posexplode("cells").alias("i", "n"))
     name = lambda i: F.element_at(F.array(*[F.lit(o) for o in B.OUTCOMES]), (i + 1).cast("int"))
-    return cells.select(name(F.floor(F.col("i") / 4)).alias("champion"), name(F.col("i") % 4).alias("challenger"), "n").filter("n > 0")
+    return cells.select(name(F.floor(F.col("i") / 4)).alias("champion"), name(F.col("i") % 4).alias("challenger"), "n")
 
 
 _H = "2.0::double*({h}*{c}-{m}*{f})/(({h}+{m})*({m}+{c})+({h}+{f})*({f}+{c}))"
 _POINT = """select n as n_paired, round(%s,6) as champion_hss, round(%s,6) as challenger_hss, round(champion_bss,6) as champion_bss,
- round(challenger_bss,6) as challenger_bss, round(%s - %s,6) as hss_diff from (select count(*) as n,
+ round(challenger_bss,6) as challenger_bss, round(%s - %s,6) as hss_diff, true as in_interval from (select count(*) as n,
  %s, %s, %s, %s from pair_v)""" % (
     _H.format(h="ah", m="am", f="af", c="ac"), _H.format(h="bh", m="bm", f="bf", c="bc"),
     _H.format(h="bh", m="bm", f="bf", c="bc"), _H.format(h="ah", m="am", f="af", c="ac"),
@@ -106,23 +108,34 @@ _POINT = """select n as n_paired, round(%s,6) as champion_hss, round(%s,6) as ch
 
 @register("gate_point", _POINT, GATE)
 def gate_point(v):
-    return gate_plan.decide(_pairs(v), "persistence", n_boot=50).select(
-        "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff")
+    held = F.coalesce(F.col("ci_low") <= F.col("hss_diff"), F.lit(True)) & F.coalesce(F.col("hss_diff") <= F.col("ci_high"), F.lit(True))
+    return gate_plan.decide(_pairs(v), "persistence").select(
+        "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff", held.alias("in_interval"))
 
 
-@register("bootstrap_hss")
+def _held(low: str, value: str, high: str):
+    return (F.col(low) <= F.col(value)) & (F.col(value) <= F.col(high))
+
+
+# The draws are random; what can be stated is stated: point values, that the interval holds them, and that the verdict follows.
+@register("bootstrap_hss", "select n_paired as n, champion_hss, challenger_hss, hss_diff as diff, in_interval, true as verdict_follows from (" + _POINT + ")", GATE)
 def bootstrap_hss(v):
-    return B.bootstrap_hss(_pairs(v))
+    return B.bootstrap_hss(_pairs(v)).select("n", "champion_hss", "challenger_hss", "diff", _held("ci_low", "diff", "ci_high").alias("in_interval"),
+                                             (F.col("wins") == (F.col("ci_low") > 0)).alias("verdict_follows"))
 
 
-@register("bootstrap_bss")
+@register("bootstrap_bss", "select %s, true as in_interval, true as verdict_follows from point_v" % bss("p", "event"))
 def bootstrap_bss(v):
-    return B.bootstrap_bss(v.model_points)
+    ends = B.bootstrap_bss(v.model_points).select(F.struct("*").alias("e"))
+    point = v.model_points.agg(S.brier_skill(F.col("p"), F.col("event")).alias("bss")).withColumn("e", ends.scalar())
+    return point.select("bss", _held("e.low", "bss", "e.high").alias("in_interval"), (F.col("e.wins") == (F.col("e.low") > 0)).alias("verdict_follows"))
 
 
-@register("gate_decision")
+@register("gate_decision", "select 'promotion_gate' as kind, 'persistence' as challenger, 'official' as champion, *, true as promotes_if_above from (" + _POINT + ")", GATE)
 def gate_decision(v):
-    return gate_plan.decide(_pairs(v), "persistence")
+    return gate_plan.decide(_pairs(v), "persistence").select(
+        "kind", "challenger", "champion", "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff",
+        _held("ci_low", "hss_diff", "ci_high").alias("in_interval"), (F.col("promote") == (F.col("ci_low") > 0)).alias("promotes_if_above"))
 
 
 OWN = {"gobs_v": "select * from obs_v where observed_at >= '2024-01-10' and observed_at < '2024-01-20'",

@@ -24,6 +24,8 @@ from fcverify.session import prepare
 # Split dates inside the 30 days the events cover.
 FIXTURE_TRAIN_END = "2024-01-21"
 FIXTURE_VAL_END = "2024-01-26"
+# Session setting: partitions to deal the event table to. Unset, the splits of its files are used.
+DEAL_EVENTS = "spark.fcverify.fixture.partitions"
 
 
 class Views:
@@ -36,18 +38,14 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Give every core rows to work on when the table is a single small split.
-
-        Decoding and expansion are compute-bound. A large table has more splits
-        than cores and passes through without a shuffle.
-        """
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
     @cached_property
     def events(self) -> DataFrame:
-        return (self.spread(self.table("events"))
+        """The event table, dealt to as many partitions as the session asks for, if it does.
+
+        Decoding and expansion are compute-bound, and a file of one row group is one split.
+        """
+        rows, dealt = self.table("events"), self.spark.conf.get(DEAL_EVENTS, None)
+        return ((rows.repartition(int(dealt)) if dealt else rows)
                 .withColumn("ts", F.col("ts").cast("timestamp"))
                 .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
                 .withColumn("icao", F.concat(F.lit("ST"), F.lpad((F.col("user_id") % 25).cast("string"),

@@ -24,8 +24,11 @@ BUCKET_SECONDS = 3600
 
 
 def _answer(probes: DataFrame, obs: DataFrame, by: str, carry: Sequence[str], obs_time: str,
-            obs_id: str, payload: Sequence[str], sign: int, bucket_seconds: int) -> DataFrame:
-    """Match distinct probes (by, _key, *carry); adds the struct column ``match``."""
+            obs_id: str, payload: Sequence[str], sign: int, bucket_seconds: int, ahead: bool = False) -> DataFrame:
+    """Match distinct probes (by, _key, *carry); adds the struct column ``match``.
+
+    With ``ahead`` also ``next``, the first observation after the probe, from the same buckets.
+    """
     width = bucket_seconds * 1_000_000
     bucket = F.floor(F.col("_key") / F.lit(width)).alias("_bucket")
 
@@ -37,20 +40,25 @@ def _answer(probes: DataFrame, obs: DataFrame, by: str, carry: Sequence[str], ob
         .groupBy(by, "_key", bucket)
         .agg(F.max_by("_row", "_id").alias("_row"))
     )
+    end = F.struct("_key", "_row")
     bucket_ends = distinct_obs.groupBy(by, "_bucket").agg(
-        F.max_by(F.struct("_key", "_row"), "_key").alias("_last"))
+        F.max_by(end, "_key").alias("_last"), *([F.min_by(end, "_key").alias("_first")] if ahead else []))
     asked = probes.select(by, bucket).distinct()
 
     # One row per station and bucket: bounded by the calendar, not by the data.
     before = Window.partitionBy(by).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
-    seeds = (
-        bucket_ends.select(by, "_bucket", "_last", F.lit(False).alias("_asked"))
-        .unionByName(asked.select(by, "_bucket", F.lit(None).cast(bucket_ends.schema["_last"].dataType)
-                                  .alias("_last"), F.lit(True).alias("_asked")))
-        .withColumn("_seed", F.last("_last", ignorenulls=True).over(before))
-        .filter(F.col("_asked") & F.col("_seed").isNotNull())
-        .select(by, "_bucket", F.col("_seed._key").alias("_key"), F.col("_seed._row").alias("_row"))
+    after = Window.partitionBy(by).orderBy(F.desc("_bucket")).rangeBetween(Window.unboundedPreceding, -1)
+    ends = [c for c in bucket_ends.columns if c in ("_last", "_first")]
+    nothing = F.lit(None).cast(bucket_ends.schema["_last"].dataType)
+    seeded = (
+        bucket_ends.select(by, "_bucket", *ends, F.lit(False).alias("_asked"))
+        .unionByName(asked.select(by, "_bucket", *[nothing.alias(c) for c in ends], F.lit(True).alias("_asked")))
+        .withColumns({c: F.last(c, ignorenulls=True).over(before if c == "_last" else after) for c in ends})
+        .filter("_asked")
     )
+    seeds = (seeded.select(by, "_bucket", F.explode(F.array_distinct(F.array(*ends))).alias("_seed"))
+             .filter(F.col("_seed").isNotNull())
+             .select(by, "_bucket", F.col("_seed._key").alias("_key"), F.col("_seed._row").alias("_row")))
 
     no_carry = [F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in carry]
     side = lambda name: F.lit(name).alias("_side")
@@ -63,11 +71,12 @@ def _answer(probes: DataFrame, obs: DataFrame, by: str, carry: Sequence[str], ob
     )
     upto = (Window.partitionBy(by, "_bucket").orderBy("_key", "_side")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        rows.withColumn("match", F.last("_row", ignorenulls=True).over(upto))
-        .filter(F.col("_side") == 1)
-        .select(by, "_key", *carry, "match")
-    )
+    found = {"match": F.last("_row", ignorenulls=True).over(upto)}
+    if ahead:  # the same rows from the other end, so that a frame never reaches ahead
+        later = (Window.partitionBy(by, "_bucket").orderBy(F.desc("_key"), F.desc("_side"))
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found["next"] = F.last("_row", ignorenulls=True).over(later)
+    return rows.withColumns(found).filter(F.col("_side") == 1).select(by, "_key", *carry, *found)
 
 
 def asof_keys(left: DataFrame, obs: DataFrame, probe_time: str, payload: Sequence[str], *,
@@ -92,6 +101,15 @@ def asof_join(left: DataFrame, obs: DataFrame, probe_time: str, payload: Sequenc
     return left.join(answers, [by, probe_time], "left")
 
 
+def asof_sides(left: DataFrame, obs: DataFrame, probe_time: str, payload: Sequence[str], *, by: str = "icao",
+               obs_time: str = "observed_at", obs_id: str = "obs_id", bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """``left`` plus ``match``, the latest observation at or before ``probe_time``, and ``next``, the first one after it."""
+    probes = (left.select(by, probe_time).filter(F.col(probe_time).isNotNull()).distinct()
+              .withColumn("_key", F.unix_micros(probe_time)))
+    answers = _answer(probes, obs, by, [probe_time], obs_time, obs_id, payload, 1, bucket_seconds, ahead=True)
+    return left.join(answers.drop("_key"), [by, probe_time], "left")
+
+
 def asof_lags(left: DataFrame, obs: DataFrame, t0: str, lags_h: Sequence[int], payload: Sequence[str],
               *, by: str = "icao", obs_time: str = "observed_at", obs_id: str = "obs_id",
               bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fcverify.functions.conditions import category_of_rank, category_rank, flight_category, is_adverse, state
-from fcverify.operators.asof import asof_join
+from fcverify.operators.asof import asof_join, asof_sides
 from fcverify.operators.expand import expand, hour_grid, only_prevailing
 from fcverify.operators.quantiles import group_median, group_mode
 from fcverify.schema import ALIGN_TOLERANCE_S, ELEMENTS
@@ -52,10 +52,9 @@ def issue_anchor(forecasts: DataFrame, obs: DataFrame, look_ahead: bool) -> Data
     within the tolerance on either side comes first, as in bulk scoring.
     """
     payload = [*STATE_COLUMNS]
-    found = asof_join(forecasts, obs, "issued_at", payload, into="anchor")
     if not look_ahead:
-        return found
-    found = asof_join(found, obs, "issued_at", payload, direction="forward", into="_next")
+        return asof_join(forecasts, obs, "issued_at", payload, into="anchor")
+    found = asof_sides(forecasts, obs, "issued_at", payload).withColumnsRenamed({"match": "anchor", "next": "_next"})
     gap = lambda s: F.abs(F.unix_micros(F.col(s)["matched_at"]) - F.unix_micros("issued_at"))
     nearer = F.col("anchor").isNull() | (gap("_next") <= gap("anchor"))
     use_next = (gap("_next") <= ALIGN_TOLERANCE_S * 1_000_000) & nearer

@@ -21,7 +21,7 @@ COVARIATES = ("et_wspd", "et_wdir_sin", "et_wdir_cos", "et_gust", "et_t2m", "et_
 CYCLES = ("hod_sin", "hod_cos", "doy_sin", "doy_cos")
 TARGETS = ("vis", "ceiling", "wspd", "wdir_sin", "wdir_cos")
 
-# Hours per window block. Larger than a window, so a row is copied to at most one more block.
+# Hours per window block at least. No shorter than a window, so a row is copied to at most one more block.
 BLOCK_HOURS = 720
 
 
@@ -123,13 +123,12 @@ def sequence_windows(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_l
     station's history is spread over tasks; every issue hour is answered in the
     block it lies in.
     """
-    if past_len + horizon > BLOCK_HOURS:
-        raise ValueError("window longer than a block")
+    block_hours = max(BLOCK_HOURS, past_len + horizon)
     if icaos is not None:
         obs = obs.filter(F.col("icao").isin(*icaos))
     obs = obs.join(stations.select("icao"), "icao", "left_semi")
     hours = station_hours(obs, nwp).withColumn("_i", F.floor(F.unix_seconds("hour") / F.lit(3600)))
-    block = lambda i: F.floor(i / F.lit(BLOCK_HOURS))
+    block = lambda i: F.floor(i / F.lit(block_hours))
     blocks = F.array_distinct(F.array(block(F.col("_i") - horizon), block(F.col("_i") + past_len - 1), block(F.col("_i"))))
     spread = hours.withColumn("_block", F.explode(blocks))
     order = Window.partitionBy("icao", "_block").orderBy("_i")

@@ -13,7 +13,7 @@ from fcverify.functions.conditions import is_adverse
 from fcverify.functions.timetokens import lead_hours
 from fcverify.operators.forecasters import BULK_PROFILES, CANDIDATES, Forecaster, official
 from fcverify.operators.nearest import align_hours, align_hours_within
-from fcverify.schema import OFFICIAL_PROFILE, VERIFICATION_COLUMNS
+from fcverify.schema import ALIGN_TOLERANCE_S, OFFICIAL_PROFILE, VERIFICATION_COLUMNS
 
 OBSERVED = ("wind_dir_deg", "wind_spd_kt", "vis_m", "ceiling_ft", "flight_category")
 
@@ -24,8 +24,8 @@ def score_hours(aligned: DataFrame, profile: str | Column = OFFICIAL_PROFILE) ->
     seen = obs["flight_category"]
     difference = lambda e: (prevailing[e] - obs[e]).cast("double")
     stated = S.adverse_probability(prevailing, tempo, prob)
-    if "fcst_prob" in aligned.columns:
-        stated = F.col("fcst_prob")
+    if "fcst_prob" in aligned.columns:  # NULL: this forecaster states none
+        stated = F.coalesce("fcst_prob", stated)
     columns = {
         "taf_id": F.col("taf_id"),
         "icao": F.col("icao"),
@@ -62,18 +62,43 @@ def pending(forecasts: DataFrame, scored: DataFrame | None, profile: str | None
 
 def score_profile(forecasts: DataFrame, obs: DataFrame, groups: DataFrame, profile: str,
                   scored: DataFrame | None = None,
-                  forecasters: Mapping[str, Forecaster] = BULK_PROFILES) -> DataFrame:
-    """Bulk scoring: all pending forecasts of all stations in one plan."""
+                  forecasters: Mapping[str, Forecaster] = BULK_PROFILES, near: DataFrame | None = None) -> DataFrame:
+    """Bulk scoring: all pending forecasts of all stations in one plan.
+
+    ``near`` are the observations that the hours are held against, where the caller
+    knows that fewer than ``obs`` can be; a forecaster may look back over all of those.
+    """
     hours = forecasters[profile](pending(forecasts, scored, profile), obs, groups)
-    return score_hours(align_hours(hours, obs, OBSERVED), profile)
+    return score_hours(align_hours(hours, obs if near is None else near, OBSERVED), profile)
+
+
+def observed_near(obs: DataFrame, forecasts: DataFrame) -> DataFrame | None:
+    """Observations that can be nearest to an hour of the forecasts; None without forecasts.
+
+    Two times leave the forecasts, so stored observations are pruned before they are read.
+    """
+    span = forecasts.agg(F.min("valid_from").alias("a"), F.max("valid_to").alias("b")).first()
+    if span["a"] is None or span["b"] is None:
+        return None
+    reach = F.make_dt_interval(F.lit(0), F.lit(1), F.lit(0), F.lit(float(ALIGN_TOLERANCE_S)))
+    return obs.filter(F.col("observed_at").between(F.lit(span["a"]) - reach, F.lit(span["b"]) + reach))
 
 
 def score_profiles(forecasts: DataFrame, obs: DataFrame, groups: DataFrame,
                    profiles: Iterable[str] = tuple(BULK_PROFILES), scored: DataFrame | None = None,
                    forecasters: Mapping[str, Forecaster] = BULK_PROFILES) -> DataFrame:
-    """Verification rows of several profiles as one fact table."""
-    parts = [score_profile(forecasts, obs, groups, p, scored, forecasters) for p in profiles]
-    return reduce(DataFrame.unionByName, parts)
+    """Verification rows of several profiles as one fact table.
+
+    The expected hours of all profiles meet the observations together: these are
+    reduced to whole hours once, and every hour is aligned and scored in one pass.
+    """
+    parts = []
+    for p in profiles:
+        hours = forecasters[p](pending(forecasts, scored, p), obs, groups)
+        own = F.col("fcst_prob") if "fcst_prob" in hours.columns else F.lit(None)
+        parts.append(hours.select("taf_id", "icao", "issued_at", "valid_hour", "prevailing", "tempo", "prob",
+                                  own.cast("double").alias("fcst_prob"), F.lit(p).alias("_profile")))
+    return score_hours(align_hours(reduce(DataFrame.unionByName, parts), obs, OBSERVED), F.col("_profile"))
 
 
 def score_own_window(forecasts: DataFrame, obs: DataFrame, groups: DataFrame,

@@ -81,45 +81,47 @@ class Stack:
 
 
 class LeadStack(Stack):
-    """One logistic regression per lead, fitted as a single model.
+    """One logistic regression per lead, each with its own unpenalised intercept.
 
-    Every lead has its own intercept and base weights through indicator columns, so
-    the fits do not share anything and one pass serves all leads. Leads with few
-    rows or a single class get probability 0.
+    A lead of which ``min_rows`` rows or fewer are known, or one class only, cannot be
+    fitted on its own; it takes the pooled regression over all leads. ``pooled`` lists those
+    leads after fitting. One isotonic fit serves all leads.
     """
 
+    def __init__(self, bases: Sequence[str], min_rows: int = MIN_LEAD_ROWS):
+        super().__init__(bases)
+        self.min_rows = min_rows
+
     def fit(self, validation: DataFrame, event: str = "event", lead: str = "lead_h") -> LeadStack:
         self.lead = lead
-        counts = validation.filter(F.col(lead).isin(*LEADS_H)).groupBy(lead).agg(
-            F.count(F.lit(1)).alias("n"), F.countDistinct(event).alias("k"))
-        self.leads = sorted(r[lead] for r in counts.filter((F.col("n") > MIN_LEAD_ROWS) & (F.col("k") > 1)).collect())
-        if self.leads:
-            known = self._spread(validation.filter(F.col(lead).isin(*self.leads)))
-            n = known.count()
-            self.model = detached(Pipeline(stages=[
-                VectorAssembler(inputCols=self._columns(), outputCol="_bases"),
-                LogisticRegression(featuresCol="_bases", labelCol=event, maxIter=1000, fitIntercept=False,
-                                   regParam=1.0 / max(n, 1), standardization=False),
-            ]).fit(known))
+        rows = checkpoint(validation.select(lead, event, *self.bases).filter(F.col(lead).isin(*LEADS_H)))
+        counts = rows.groupBy(lead).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(event).alias("k")).collect()
+        own = {r[lead] for r in counts if r["n"] > self.min_rows and r["k"] > 1}
+        self.pooled = sorted(set(LEADS_H) - own)
+        self.models = {h: self._regression(rows.filter(F.col(lead) == h), event) for h in sorted(own)}
+        if self.pooled and rows.agg(F.countDistinct(event)).first()[0] > 1:
+            self.models[None] = self._regression(rows, event)
         self.calibrator, self.threshold = fit_calibrator(self._raw(validation), "p_raw", event)
         return self
 
-    def _columns(self) -> list[str]:
-        return [f"_l{h}_{b}" for h in self.leads for b in ("one", *self.bases)]
-
-    def _spread(self, df: DataFrame) -> DataFrame:
-        cells = {}
-        for h in self.leads:
-            here = F.col(self.lead) == h
-            cells[f"_l{h}_one"] = here.cast("double")
-            cells.update({f"_l{h}_{b}": F.when(here, F.col(b)).otherwise(0.0) for b in self.bases})
-        return df.withColumns(cells)
+    def _regression(self, rows: DataFrame, event: str) -> tuple[float, list[float]]:
+        ready = VectorAssembler(inputCols=self.bases, outputCol="_bases").transform(rows)
+        model = LogisticRegression(featuresCol="_bases", labelCol=event, maxIter=1000, regParam=1.0 / max(rows.count(), 1),
+                                   standardization=False).fit(ready)
+        return float(model.intercept), [float(x) for x in model.coefficients]
 
     def _raw(self, df: DataFrame) -> DataFrame:
-        if not self.leads:
-            return df.withColumn("p_raw", F.lit(0.0))
-        scored = super()._raw(self._spread(df)).drop(*self._columns())
-        return scored.withColumn("p_raw", F.when(F.col(self.lead).isin(*self.leads), F.col("p_raw")).otherwise(0.0))
+        """Probability as a column expression; 0 where no regression could be fitted at all."""
+        def probability(model):
+            intercept, weights = model
+            score = sum((F.col(b) * w for b, w in zip(self.bases, weights)), F.lit(intercept))
+            return 1 / (1 + F.exp(-score))
+
+        p = probability(self.models[None]) if None in self.models else F.lit(0.0)
+        for h, model in self.models.items():
+            if h is not None:
+                p = F.when(F.col(self.lead) == h, probability(model)).otherwise(p)
+        return df.withColumn("p_raw", p)
 
 
 def stack_report(stack: Stack, test: DataFrame, event: str = "event") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fcverify.functions import scoring as S
 from fcverify.functions.conditions import is_adverse
-from fcverify.operators.bootstrap import HSS_REPLICATES, bootstrap_hss
+from fcverify.operators.bootstrap import HSS_REPLICATES, outcome_cells, with_interval
 from fcverify.operators.expand import hour_grid
 from fcverify.operators.features import request_features, time_window
 from fcverify.operators.forecasters import Forecaster, official
@@ -55,15 +55,14 @@ def pair(champion: DataFrame, challenger: DataFrame) -> DataFrame:
 
 def decide(paired: DataFrame, challenger: str, champion: str = "official", n_boot: int = HSS_REPLICATES,
            seed: int = 0) -> DataFrame:
-    """One row: scores of both, HSS difference with interval, and whether to promote."""
-    skill = paired.agg(S.brier_skill(F.col("p_champion"), F.col("event")).alias("champion_bss"),
-                       S.brier_skill(F.col("p_challenger"), F.col("event")).alias("challenger_bss"))
-    both = skill.agg(F.first(F.struct("*")).alias("s")).scalar()
-    return bootstrap_hss(paired, n_boot=n_boot, seed=seed).withColumn("_s", both).select(
+    """One row: scores of both, HSS difference with interval, and whether to promote. The pairs are read once."""
+    counted = paired.agg(outcome_cells().alias("cells"),
+                         S.brier_skill(F.col("p_champion"), F.col("event")).alias("champion_bss"),
+                         S.brier_skill(F.col("p_challenger"), F.col("event")).alias("challenger_bss"))
+    return with_interval(counted, n_boot, seed).select(
         F.lit("promotion_gate").alias("kind"), F.lit(challenger).alias("challenger"), F.lit(champion).alias("champion"),
-        F.col("n").alias("n_paired"), "champion_hss", "challenger_hss", F.col("_s.champion_bss").alias("champion_bss"),
-        F.col("_s.challenger_bss").alias("challenger_bss"), F.col("diff").alias("hss_diff"), "ci_low", "ci_high",
-        F.col("wins").alias("promote"))
+        F.col("n").alias("n_paired"), "champion_hss", "challenger_hss", "champion_bss", "challenger_bss",
+        F.col("diff").alias("hss_diff"), "ci_low", "ci_high", F.col("wins").alias("promote"))
 
 
 def champion_forecaster(spark, registry: str, nwp: DataFrame, stations: DataFrame) -> tuple[str, Forecaster]:

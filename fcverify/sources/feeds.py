@@ -78,9 +78,12 @@ def read_granules(spark: SparkSession, root: str, icaos: Sequence[str], start, e
     """
     prefixes = sorted({i[:2].upper() for i in icaos})
     first, last = (F.year(F.lit(t).cast("timestamp")) for t in (start, end))
-    files = (spark.read.schema(BULK_CSV + ", prefix string, granule_year int")
+    # the rows have a year of their own, which goes by another name beside the folder's
+    columns = BULK_CSV.replace("year string", "row_year string")
+    files = (spark.read.schema(columns + ", prefix string, year int")
              .csv(root).filter(F.col("prefix").isin(*prefixes))
-             .filter(F.col("granule_year").between(first, last)))
+             .filter(F.col("year").between(first, last))
+             .drop("year").withColumnRenamed("row_year", "year"))
     return shape_bulk(files, list(icaos), start, end)
 
 

@@ -24,13 +24,13 @@ def test_observation_csv(spark, tmp_path):
 def test_granules_are_pruned(spark, tmp_path):
     head = "ESTACION,ANO,MES,DIA,HORA,MINUTO,PARTE\n"
     for prefix, year, station in (("LE", 2023, "LEMD"), ("LE", 2022, "LEMD"), ("GC", 2023, "GCLP")):
-        write(f"{tmp_path}/g/prefix={prefix}/granule_year={year}/f.csv",
+        write(f"{tmp_path}/g/prefix={prefix}/year={year}/f.csv",
               head + f"{station},{year},06,16,11,00,TAF {station} 161100Z=\n{station},{year},06,31,11,00,bad day=\nshort,row\n")
     df = feeds.read_granules(spark, f"{tmp_path}/g", ["LEMD"], "2023-01-01", "2024-01-01")
     assert [tuple(r) for r in df.select("icao", "raw_text").collect()] == [("LEMD", "TAF LEMD 161100Z")]
     plan = df._jdf.queryExecution().executedPlan().toString()
     filters = plan.split("PartitionFilters:")[1].split("]")[0]
-    assert "prefix" in filters and "granule_year" in filters
+    assert "prefix" in filters and "year" in filters
     record = feeds.bulk_forecasts(df).first()
     assert record.source == "ogimet" and record.valid_from is None
     assert feeds.bulk_observations(df).first().observed_at.month == 6

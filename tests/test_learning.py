@@ -1,5 +1,4 @@
 import math
-import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,12 +82,9 @@ def samples(spark):
     return Views(spark, "/root/testdata/sf0.001").samples
 
 
-slow = pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="set SLOW_TESTS=1 to fit every rung")
-
-
 @pytest.mark.parametrize("rung,options", [
-    ("linreg", {}), ("gbm", {"trees": 2, "depth": 2}), pytest.param("rf", {"trees": 5, "depth": 4}, marks=slow),
-    pytest.param("mlp", {"trees": 2, "depth": 2, "hidden": (8,), "iterations": 15}, marks=slow)])
+    ("linreg", {}), ("gbm", {"trees": 2, "depth": 2}), ("rf", {"trees": 5, "depth": 4}),
+    ("mlp", {"trees": 2, "depth": 2, "hidden": (8,), "iterations": 15})])
 def test_rungs(spark, samples, tmp_path, rung, options):
     parts = L.splits(samples, "2024-01-21", "2024-01-26")
     model = L.fit(parts["train"], parts["val"], rung, **options)
@@ -112,6 +108,15 @@ def test_stacks(spark):
     val, test = rows.filter("i div 4 % 2 = 0"), rows.filter("i div 4 % 2 = 1")
     assert E.stack_report(E.Stack(["a", "b"]).fit(val), test).first().bss > 0.5
     assert E.stack_report(E.LeadStack(["a", "b"]).fit(val), test).first().bss > 0.3
+    some = val.filter("lead_h <> 6 or i % 400 < 80")  # one lead has too few rows of its own
+    stack = E.LeadStack(["a", "b"], min_rows=100).fit(some)
+    assert 6 in stack.pooled and set(stack.models) == {1, 2, 3, None}
+    for h in (1, 2, 3):  # each lead as if it were fitted alone, with a free intercept
+        own = some.filter(F.col("lead_h") == h)
+        alone = E.LeadStack(["a", "b"], min_rows=100)._regression(own, "event")
+        assert stack.models[h][0] == pytest.approx(alone[0], abs=1e-6) and stack.models[h][1] == pytest.approx(alone[1], abs=1e-6)
+        mean = stack._raw(own).agg(F.avg("p_raw"), F.avg("event")).first()
+        assert mean[0] == pytest.approx(mean[1], abs=1e-3)
     ranked = [r.bases for r in E.ablation(val, test, ["a", "b", "c"]).collect()]
     assert len(ranked) == 7 and ranked[0].startswith("a") and E.subsets(["x"]) == [("x",)]
     report = E.blend_report(val, test, "a", "b").first()

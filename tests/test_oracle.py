@@ -1,21 +1,16 @@
-"""Registered queries beside their oracle at the smallest scale.
+"""Every registered query beside its oracle at the smallest scale.
 
-ALL_QUERIES=1 compares every query, otherwise one or two of each kind run.
+The operators for training corpora have their own tests, in tests/llm.
 """
 
-import os
-
 import pytest
 
 import __spark_entry__ as entry
 from check import compare, oracle_connection
+from fcverify import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["category_bands", "asof_lag_join", "nearest_obs_gate_window", "expand_forecast", "score_hours", "summary", "persistence_bulk",
-        "climatology", "comparison_ranked", "evaluation", "rollup_skill", "reliability", "threshold_search", "blend_best", "gate_point",
-        "runner_scores", "prob_groups", "decode_obs", "decode_forecast_groups", "csv_scan", "keyed_append", "nearest_grid", "merge_streams",
-        "causal_features", "request_features", "encoder_state", "sequence_windows", "nested_groups", "stations_latest", "hourly_tumbling"]
-NAMES = list(entry.oracle_sql()) if os.environ.get("ALL_QUERIES") else SOME
+NAMES = list(catalog.ORACLES)
 
 
 @pytest.fixture(scope="module")
