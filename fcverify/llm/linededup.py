@@ -30,8 +30,8 @@ MIN_WORDS = 5
 # Bits of the filter that says which lines can have a neighbour at all; 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
 _SLICE = 1 << 15
-# Lines with keys that a task holds before it writes them.
-HELD = 5000
+# Different lines that a task holds.
+HELD = 30_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -83,7 +83,7 @@ def _lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
             yield number, words
 
 
-_LINE = "doc_id long, th long, line int, h1 long, h2 long, n int, p array<long>"
+_LINE = "doc_id long, th long, line int, h1 long, h2 long, p array<long>"
 
 
 def _signed(x: int) -> int:
@@ -95,19 +95,28 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of its words, their number, and its filter hashes if long enough."""
+    """Every line with a word: its place, a 128-bit hash of its words, and its halves' hashes if it is long enough.
+
+    The halves serve to tell different lines apart, so a task gives those of equal lines once.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            if len(seen) > HELD:
+                seen = set()
             rows = []
             for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 for number, words in _lines(text):
                     a, b = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), dtype="<i8").tolist()
-                    p = list(map(_signed, halves(words))) if len(words) >= MIN_WORDS - 1 else None
-                    rows.append((doc, th, number, a, b, len(words), p))
-            columns = list(zip(*rows)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                    p = None
+                    if len(words) >= MIN_WORDS - 1 and (a, b) not in seen:
+                        seen.add((a, b))
+                        p = list(map(_signed, halves(words)))
+                    rows.append((doc, th, number, a, b, p))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
-                                             names=["doc_id", "th", "line", "h1", "h2", "n", "p"])
+                                             names=["doc_id", "th", "line", "h1", "h2", "p"])
 
     return _identified(docs).mapInArrow(work, _LINE)
 
