@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ RUNTIME_CONF = {
 }
 
 
+PACKAGE = "fcverify"
+
 # Call sites in error messages cost a few JVM calls per expression; plans here are long.
 START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -26,7 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
-    return spark
+    return ship(spark)
 
 
 def build_session(app: str = "fcverify", master: str | None = None, **conf) -> SparkSession:
@@ -38,6 +42,19 @@ def build_session(app: str = "fcverify", master: str | None = None, **conf) -> S
     return prepare(builder.getOrCreate())
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once a session: they need not have the driver's path."""
+    context = spark.sparkContext
+    if not any(f.endswith(f"/{PACKAGE}.zip") for f in context.listFiles):
+        folder = pathlib.Path(__file__).resolve().parent
+        archive = f"{tempfile.mkdtemp()}/{PACKAGE}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for module in sorted(folder.rglob("*.py")):
+                out.write(module, module.relative_to(folder.parent))
+        context.addPyFile(archive)
+    return spark
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in
     ``spark.checkpoint.dir``. Only a local session without that setting gets a
