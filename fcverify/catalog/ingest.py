@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fcverify.catalog import register
@@ -9,6 +11,7 @@ from fcverify.functions import conditions as C
 from fcverify.functions.timetokens import resolve_time
 from fcverify.operators import decode as D
 from fcverify.operators import grid as G
+from fcverify.session import checkpoint_folder
 from fcverify.sources import feeds
 from fcverify.sources import tables as T
 
@@ -175,12 +178,15 @@ def csv_scan(v):
 _BULK = "select {cols} from ev_v where icao in ('ST03','ST11') and k%9<>0 and ts >= '2024-01-05'"
 
 
-def _bulk_rows(v):
+def _bulk_lines(v):
     line = F.concat_ws(",", "icao", F.when(F.col("k") % 9 == 0, "ANO").otherwise(F.date_format("ts", "yyyy")), F.date_format("ts", "MM"),
                        F.date_format("ts", "dd"), F.date_format("ts", "HH"), F.date_format("ts", "mm"),
                        F.concat(F.lit("TAF "), "icao", F.lit(" "), "k", F.lit(" ==")))
-    rows = v.events.select(F.from_csv(line, feeds.BULK_CSV).alias("r")).select("r.*")
-    return feeds.shape_bulk(rows, ["ST03", "ST11"], "2024-01-05", "2024-02-05")
+    return v.events.select(F.from_csv(line, feeds.BULK_CSV).alias("r"), "ts").select("r.*", "ts")
+
+
+def _bulk_rows(v):
+    return feeds.shape_bulk(_bulk_lines(v), ["ST03", "ST11"], "2024-01-05", "2024-02-05")
 
 
 @register("bulk_scan_forecasts", _BULK.format(cols="""icao, date_trunc('minute', ts) as issued_at, cast(null as timestamp) as valid_from,
@@ -208,8 +214,39 @@ def station_prefixes(v):
     return v.events.groupBy(feeds.icao_prefix(F.lower("icao")).alias("prefix"), F.year("ts").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("granule_scan", _BULK.format(cols="""icao, date_trunc('minute', ts) as issued_at, cast(null as timestamp) as valid_from,
+ cast(null as timestamp) as valid_to, 'TAF ' || icao || ' ' || k as raw_text, 'ogimet' as source"""))
+def granule_scan(v):
+    """All stations' granules written in their folders, two stations' read back."""
+    root = f"{checkpoint_folder(v.spark)}/granules-{uuid.uuid4().hex}"
+    (_bulk_lines(v).withColumn("prefix", feeds.icao_prefix(F.col("station"))).withColumn("row_year", F.col("year"))
+     .withColumn("year", F.year("ts")).select("station", "row_year", "month", "day", "hour", "minute", "report", "prefix", "year")
+     .write.partitionBy("prefix", "year").csv(root))
+    return feeds.bulk_forecasts(feeds.read_granules(v.spark, root, ["ST03", "ST11"], "2024-01-05", "2024-02-05"))
+
+
 # --- stored tables ----------------------------------------------------------
 
+@register("stored_twice", """select 'raw_metar' as name, count(*) as first, 0 as second, count(*) as stored from (select distinct icao, observed_at from obs_v)
+ union all select 'nwp_point', count(*), 0, count(*) from (select distinct icao, valid_time, source from nwp_v)
+ union all select 'expected_hour', count(*), 0, count(*) from expected_v
+ union all select 'verification_hourly', count(*), 0, count(*) from scored_v""")
+def stored_twice(v):
+    """Every sink run twice over the same rows: what each run added, and what is stored. Then all scores are replaced by themselves."""
+    root = f"{checkpoint_folder(v.spark)}/store-{uuid.uuid4().hex}"
+    metar = v.obs.select("icao", "observed_at", F.concat(F.lit("METAR "), "icao").alias("raw_text"), F.lit("iem").alias("source"))
+    sinks = {"raw_metar": lambda p: T.store_raw(metar, p, "raw_metar", dedup_batch=True), "nwp_point": lambda p: T.store_nwp(v.nwp, p),
+             "expected_hour": lambda p: T.store_expected_hours(v.expected, p), "verification_hourly": lambda p: T.store_verification(v.scored, p)}
+    rows = []
+    for name, sink in sinks.items():
+        path = f"{root}/{name}"
+        added = [sink(path), sink(path)]
+        if name == "verification_hourly":
+            T.replace_verification(v.scored, path)
+        rows.append((name, *added, v.spark.read.parquet(path).count()))
+    return v.spark.createDataFrame(rows, "name string, first long, second long, stored long")
+
+
 @register("keyed_append", """select obs_id, icao, observed_at, source from (select obs_id, icao, observed_at, case when obs_id%3=0 then null else 'iem' end as source from obs_v) o
  where not exists (select 1 from obs_v s where s.obs_id%2=0 and s.icao = o.icao and s.observed_at = o.observed_at and
   (case when s.obs_id%3=0 then null else 'iem' end) is not distinct from o.source)""")

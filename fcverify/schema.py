@@ -116,4 +116,5 @@ TABLE_KEYS = {
     "taf_forecast": ("raw_taf_id",),
     "nwp_point": ("icao", "valid_time", "source"),
     "verification_hourly": ("taf_id", "valid_hour", "scoring_profile"),
+    "expected_hour": ("taf_id", "valid_hour"),
 }
