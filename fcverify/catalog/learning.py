@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fcverify.catalog import register, rounded
+from fcverify.catalog.feature_frames import FRAME
 from fcverify.catalog.scores import bss
 from fcverify.catalog.verify import RATIOS, SKILL
 from fcverify.fixtures import FIXTURE_TRAIN_END, FIXTURE_VAL_END, own_window_score
@@ -247,10 +248,14 @@ def forced_adverse(v):
         "obs_id", F.col("f.flight_category").alias("category"), "f.vis_m", "f.ceiling_ft")
 
 
-# --- ladder (no SQL form) ---------------------------------------------------
+# --- ladder -----------------------------------------------------------------
 
-@register("ladder_eval")
+# A fit differs in its last digits from run to run; stated are the events it is judged on, and that its scores are in range.
+@register("ladder_eval", f"""select 'linreg' as rung, split, count(*) filter (where y_cat in ('IFR','LIFR')) as events, true as in_range, true as in_interval
+ from (select y_cat, case when t0 < timestamp '{FIXTURE_TRAIN_END}' then 'train' when t0 < timestamp '{FIXTURE_VAL_END}' then 'val' else 'test' end as split
+ from frame_v) where split <> 'train' group by split""", FRAME)
 def ladder_eval(v):
     """The linear rung on the sample frame: validation and test metrics."""
     _, table = ladder.train_and_evaluate(v.samples, "linreg", FIXTURE_TRAIN_END, FIXTURE_VAL_END)
-    return table
+    return table.select("rung", "split", (F.col("hits") + F.col("misses")).alias("events"), F.col("bss").between(-1, 1).alias("in_range"),
+                        _held("bss_low", "bss", "bss_high").alias("in_interval"))
