@@ -215,7 +215,7 @@ def _place(*names: str) -> Column:
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound."""
     chosen = docs.sparkSession.sparkContext.broadcast(_filter(lines))
-    keys = stored(_variant_table(docs, chosen).withColumn("o", _place("doc_id", "th", "line")), "variants")
+    keys = stored(_variant_table(docs, chosen).select(_place("doc_id", "th", "line").alias("o"), "kind", "k1", "k2", "words"), "variants")
     rows = keys.select("o", "kind", "k1", "k2")
     swapped, moved = rows.filter("kind = 0"), rows.filter("kind > 0")
     least = swapped.groupBy("k1", "k2").agg(F.min("o").alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -245,9 +245,10 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``th`` and the places of the lines that go: ``equal`` to an earlier one, and ``near`` one only."""
-    lines = stored(line_table(docs), "lines").withColumn("o", _place("doc_id", "th", "line"))
+    lines = stored(line_table(docs), "lines").select("h1", "h2", _place("doc_id", "th", "line").alias("o"), "p")
     first = lines.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    equal = lines.join(first, ["h1", "h2"]).filter("first < o").select("doc_id", "th", "line", F.lit(True).alias("equal"))
+    equal = (lines.select("h1", "h2", "o").join(first, ["h1", "h2"]).filter("first < o")
+             .select("o.doc_id", "o.th", "o.line", F.lit(True).alias("equal")))
     near = near_lines(docs, lines).withColumn("equal", F.lit(False))
     each = equal.unionByName(near).groupBy("doc_id", "th", "line").agg(F.max("equal").alias("equal"))
     return each.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("equal"), F.col("line"))).alias("equal"),
