@@ -111,8 +111,9 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     below = F.lit(0)
     for quality, n in sizes.items():
         below = F.when(F.col("quality") == quality, F.lit(min(1 << 30, int(per_class * (1 << 30) / n) + 1))).otherwise(below)
-    # at most about 2 * per_class ids, so Spark may send them to the tasks that read the texts
-    return texts(docs).filter("text is not null").join(known.filter(F.col("h") < below), "doc_id").select("h", "quality", "text")
+    # at most 4 * per_class ids go to the tasks that read the texts, so that these are not shuffled
+    drawn = known.filter(F.col("h") < below).orderBy("h", "doc_id").limit(4 * per_class)
+    return texts(docs).filter("text is not null").join(F.broadcast(drawn), "doc_id").select("h", "quality", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, epochs: int = 12, rate: float = 20.0, decay: float = 1e-6,
