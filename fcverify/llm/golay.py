@@ -13,7 +13,7 @@ and every candidate is verified by its Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations, repeat
 
@@ -236,22 +236,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", "fp", "root", "component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = near_duplicates,
+               code: Callable[[str | None], int] = fingerprint) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest ``doc_id``, with all columns of ``docs``.
 
-    Of several rows with that id the one with the smallest text stays. A group without
+    ``groups`` finds the groups and ``code`` gives a text's ``fp`` in them. Of several rows with that id the one with the smallest text stays. A group without
     any id keeps the row with the smallest text.
     """
     ready(docs.sparkSession)
     columns = [f"c{i}" for i in range(len(docs.columns))]
-    found = near_duplicates(docs)
+    found = groups(docs)
     flat = docs.select(*[F.col(c).alias(a) for a, c in zip(columns, docs.columns)],
                        F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("row_text"))
     at = len(columns) + 1
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x) for x in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            fp = np.array([code(x) for x in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "fp"])
 
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
