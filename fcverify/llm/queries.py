@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fcverify.llm import chat, golay, langid, linededup, mixing, mtree, packing, planes, quality, sharding
+from fcverify.llm import (blocking, chat, golay, importance, langid, linededup, mixing, mtree, neighbours, packing, planes, quality,
+                          sharding)
 from fcverify.llm.store import ready, stored
 
 
@@ -78,6 +79,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw towards the benchmark's texts."""
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a window filled by retrieval."""
+    return neighbours.packed_documents(_table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return blocking.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -85,7 +102,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mtree_top_k, op2_language_id, op3_bit_planes, op4_simhash_golay, op5_quality_rules, op6_chat_format, op7_line_dedup,
-    op8_source_mix, op9_sampled_shards, op10_best_fit_packing, pipeline)}
+    op8_source_mix, op9_sampled_shards, op10_best_fit_packing, op11_importance_resampling, op12_retrieval_packing,
+    op13_blocked_search, pipeline)}
 
 # Words as the operators split them, and lines with their words.
 _WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -94,6 +112,13 @@ _LINES = rf"""
           FROM documents),
   lines AS (SELECT doc_id, pos, line, {_WORDS.format('line')} AS words, row_number() OVER (ORDER BY doc_id, pos) AS o FROM cut)"""
 
+# Terms: A-Z lower-cased; runs of ASCII letters and digits and of characters beyond ASCII.
+_TERMS = (r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_FEATURES = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+# One step of the bitwise CRC-32, eight of which take in a byte.
+_SHIFT = "list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), {})"
+
 ORACLES: dict[str, str] = {
     "op1_mtree_top_k": """
 WITH fine AS (
@@ -150,6 +175,43 @@ SELECT s.doc_id, s.size, r.source_size, r.target,
        s.size * (r.rounds + CASE WHEN e.more AND r.rounds < 3 THEN 1 ELSE 0 END) AS taken
 FROM sized s JOIN rounds r ON s.source IS NOT DISTINCT FROM r.source
 JOIN extra e ON e.h = s.h AND e.source IS NOT DISTINCT FROM s.source""",
+    "op11_importance_resampling": rf"""
+WITH steps AS (SELECT list(CAST({_SHIFT.format("b")} AS BIGINT) ORDER BY b) AS step FROM range(256) t(b)),
+  worded AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+  aimed AS (SELECT {_TERMS.format("coalesce(text, '')")} AS w FROM benchmark),
+  held AS (SELECT r, {_FEATURES} AS f FROM worded),
+  wanted AS (SELECT {_FEATURES} AS f FROM aimed),
+  bytes AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM held UNION SELECT f FROM wanted)),
+  hashed AS (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+               list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+               lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1]))) % 10000 AS bucket FROM bytes, steps),
+  source AS (SELECT bucket, count(*) AS s FROM held JOIN hashed USING (f) GROUP BY bucket),
+  target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (f) GROUP BY bucket),
+  sums AS (SELECT CAST(coalesce((SELECT sum(s) FROM source), 0) AS DOUBLE) AS big_s,
+                  CAST(coalesce((SELECT sum(t) FROM target), 0) AS DOUBLE) AS big_t),
+  gains AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1.0::DOUBLE) * (big_s + 10000)) / ((s + 1.0::DOUBLE) * (big_t + 10000)))) AS gain
+            FROM source LEFT JOIN target USING (bucket), sums),
+  weights AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight
+              FROM held JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r),
+  scored AS (SELECT r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')),
+                      1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+             FROM worded LEFT JOIN weights USING (r)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n // 100 THEN place END AS rank FROM placed""",
+    "op13_blocked_search": rf"""
+WITH worded AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS w FROM documents),
+  lengths AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n FROM worded WHERE len(w) > 0),
+  sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM lengths),
+  held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM worded) GROUP BY r, term),
+  wanted AS (SELECT DISTINCT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark WHERE item_id IS NOT NULL),
+  weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+              FROM held, sums GROUP BY term),
+  scored AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+             FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (r), sums GROUP BY item_id, r),
+  ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+             FROM scored JOIN lengths USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

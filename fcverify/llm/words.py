@@ -59,3 +59,12 @@ def gram_counts(data: bytes, buckets: int, sizes: tuple[int, ...], fold: bool =
             code = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
             counts += np.bincount(code >> shift, minlength=buckets)
     return counts
+
+
+# Terms: A-Z become lower case; digits, a-z and all bytes beyond ASCII stay; anything else is a gap.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+
+
+def term_blocks(text: str | None, size: int = BLOCK) -> Iterator[list[bytes]]:
+    """Runs of ASCII letters (lower-cased), ASCII digits and characters beyond ASCII, in lists as ``word_blocks``."""
+    return word_blocks(utf8(text).translate(_TERMS), size)
