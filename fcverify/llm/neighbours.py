@@ -52,14 +52,19 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW) -> DataFrame:
-    """Full windows and rests of all documents, and how many rests hold each id (``doc_id``; ``length`` rests)."""
+def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+    """Full windows and rests of all documents, and how many rests hold each id (``doc_id``; ``length`` rests).
+
+    ``with_ids``: full windows carry their ids as well.
+    """
     ready(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        ids_end = max(encode.whole.get_vocab_size(), end + 1)
         # two byte ids take half the room
-        kind = "<u2" if max(encode.whole.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+        kind = "<u2" if ids_end <= 1 << 16 else "<u4"
+        near_of, far_of = hashes(ids_end)
         number, seen = -1 - (TaskContext.get().partitionId() << 32), np.zeros(0, dtype=np.int64)
         for batch in batches:
             rows, held = [], []
@@ -68,13 +73,14 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int
                 whole = len(ids) // window * window
                 for at in range(0, whole, window):
                     part = ids[at:at + window]
-                    rows.append((FULL, doc, at, window, _crc(part), len(ids), number, None, None, part.astype(kind).tobytes()))
+                    rows.append((FULL, doc, at, window, zlib.crc32(part.tobytes()), len(ids), number, None, None,
+                                 part.astype(kind).tobytes() if with_ids else None))
                     number -= 1
                 if whole < len(ids):
                     rest = ids[whole:]
                     held.append(np.unique(rest))
-                    near, far = _minima(held[-1])
-                    rows.append((REST, doc, whole, len(rest), _crc(rest), len(ids), None, near, far, rest.astype(kind).tobytes()))
+                    rows.append((REST, doc, whole, len(rest), zlib.crc32(rest.tobytes()), len(ids), None,
+                                 int(near_of[held[-1]].min()), int(far_of[held[-1]].min()), rest.astype(kind).tobytes()))
             if held:
                 found = np.bincount(np.concatenate(held))
                 if len(found) > len(seen):
@@ -88,11 +94,10 @@ def cut(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int
     return texts(docs).mapInArrow(work, _CUT)
 
 
-def _minima(terms: np.ndarray) -> tuple[int, int]:
-    """The least values of two hashes over a rest's ids."""
-    t = terms.astype(np.uint64) + np.uint64(1)
-    return tuple(int((t * np.uint64(m) >> np.uint64(24) & np.uint64(0xFFFFFFFF)).min())
-                 for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+def hashes(ids_end: int) -> list[np.ndarray]:
+    """Two hashes of every id; a rest's keys are their least values over its ids."""
+    t = np.arange(1, ids_end + 1, dtype=np.uint64)
+    return [(t * np.uint64(m) >> np.uint64(24) & np.uint64(0xFFFFFFFF)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Shard:
@@ -168,7 +173,7 @@ def fill(shard: Shard, size: list[int], window: int) -> Iterator[list[tuple[int,
         yield made
 
 
-def fill_windows(idf: np.ndarray, mean: float, window: int, shard: int):
+def fill_windows(idf: np.ndarray, mean: float, window: int, shard: int, with_ids: bool = True):
     """The work of a task: sorted rests in, pieces out."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() + 1) << 32
@@ -195,7 +200,8 @@ def fill_windows(idf: np.ndarray, mean: float, window: int, shard: int):
                         part, rest = ids[:length - offset], ids[length - offset:]
                         if len(rest):
                             pieces.insert(0, (doc, start + len(part), tokens, rest))
-                        rows.append((doc, start, len(part), _crc(part), tokens, number, offset, part.astype(kind).tobytes()))
+                        rows.append((doc, start, len(part), _crc(part), tokens, number, offset,
+                                     part.astype(kind).tobytes() if with_ids else None))
                         offset += len(part)
                     number += 1
             waiting = []
@@ -214,13 +220,14 @@ def fill_windows(idf: np.ndarray, mean: float, window: int, shard: int):
     return work
 
 
-def packed_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, window: int = WINDOW, shard: int = SHARD,
+                     with_ids: bool = True) -> DataFrame:
     """One row a piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``.
 
-    ``ids`` are little-endian numbers of two bytes, of four if the vocabulary needs them. A null text is empty and gives the
+    ``ids`` are little-endian numbers of two bytes, of four if the vocabulary needs them; null without ``with_ids``. A null text is empty and gives the
     end id alone. Repeated rows and rows without id are documents like any other. No sequence needs padding.
     """
-    rows = stored(cut(docs, tokenizer, end, window), "cut")
+    rows = stored(cut(docs, tokenizer, end, window, with_ids), "cut")
     # one row an id of the vocabulary
     held = rows.filter(F.col("kind") == TERM).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     size = rows.filter(F.col("kind") == REST).agg(F.count("*"), F.sum("length")).first()
@@ -236,4 +243,4 @@ def packed_documents(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END
     rests = (rows.filter(F.col("kind") == REST).select("near", "far", "doc_id", "start", "ids_crc32", "length", "doc_tokens", "ids",
                                                        F.monotonically_increasing_id().alias("dealt"))
              .repartitionByRange(*keys).sortWithinPartitions(*keys))
-    return rests.mapInArrow(fill_windows(idf, size[1] / size[0], window, shard), _PIECE).unionByName(full)
+    return rests.mapInArrow(fill_windows(idf, size[1] / size[0], window, shard, with_ids), _PIECE).unionByName(full)

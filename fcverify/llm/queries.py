@@ -87,7 +87,7 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a window filled by retrieval."""
-    return neighbours.packed_documents(_table(spark, sf_dir, "documents")).drop("ids")
+    return neighbours.packed_documents(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
 def op13_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
