@@ -15,6 +15,8 @@ by ``doc_id``, then by a hash of the text, then by the place in it. Lines under
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ _SLICE = 1 << 15
 # Different lines that a task holds.
 HELD = 30_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = [np.uint64(pow(base, -1, 1 << 64)) for base in _BASES]
 
 
 def within_one(a: list, b: list) -> bool:
@@ -60,21 +63,35 @@ def halves(words: list[bytes]) -> list[int]:
     return out
 
 
-def variants(words: list[bytes]) -> np.ndarray:
-    """128-bit hashes, as rows of two, of the line itself (first) and of the line without each word in turn.
+@lru_cache(maxsize=4)
+def _powers(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]) for base in _BASES]
+
+
+def _variants(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lines with a word: their lengths, the place of every word in its line, 128-bit hashes (as rows of two) of the lines,
+    and of the lines without each word in turn.
 
-    A polynomial over the words' hashes, so all variants of a line take time in proportion
-    to its length.
+    A polynomial over the words' hashes, whose sums run over all lines at once.
     """
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
-    out = np.empty((len(words) + 1, 2), dtype=np.uint64)
-    for c, base in enumerate(_BASES):
-        power = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, base, np.uint64)])
-        upto = np.cumsum(h[:, c] * power)
-        before = np.r_[np.uint64(0), upto[:-1]]
-        out[0, c] = upto[-1]
-        out[1:, c] = before + (upto[-1] - upto) * np.uint64(pow(base, -1, 1 << 64))
-    return out
+    n = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    start = np.cumsum(n) - n
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, chain.from_iterable(lines))), dtype="<u8").reshape(-1, 2)
+    place = np.arange(len(h)) - np.repeat(start, n)
+    own, without = np.empty((len(n), 2), dtype=np.uint64), np.empty((len(h), 2), dtype=np.uint64)
+    for c, power in enumerate(_powers(1 << int(n.max()).bit_length())):
+        part = h[:, c] * power[place]
+        run = np.cumsum(part)
+        upto = run - np.repeat(run[start] - part[start], n)
+        own[:, c] = upto[start + n - 1]
+        without[:, c] = upto - part + (np.repeat(own[:, c], n) - upto) * _INVERSES[c]
+    return n, place, own, without
+
+
+def variants(words: list[bytes]) -> np.ndarray:
+    """Hashes of the line itself (first) and of the line without each word in turn."""
+    _, _, own, without = _variants([words])
+    return np.concatenate([own, without])
 
 
 def _lines(text: str | None) -> Iterator[tuple[int, list[bytes]]]:
@@ -151,20 +168,26 @@ def _filter(lines: DataFrame) -> bytes:
 _KEY = "doc_id long, th long, line int, kind int, k1 long, k2 long, words string"
 
 
-def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kinds and keys of a line, given which of its halves other lines have.
+def keys_of(lines: list[list[bytes]], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line, kind and key of the keys of some lines, given which of their halves (columns) other lines have.
 
     kind 0: the line without the word at a place, for lines of its length; 1: the same for
     lines a word shorter; 2: the line itself. Where the first half agrees the edit is in the
     second, and the other way round, so only those places give keys.
     """
-    key, n = variants(words).view(np.int64), len(words)
-    place = np.arange(n)
-    near = [((place >= n // 2) & known[0]) | ((place <= n // 2) & known[1]) for known in (same, other)]
-    swapped = key[1:][near[0]]
+    n, place, own, without = _variants(lines)
+    line, half = np.repeat(np.arange(len(n)), n), np.repeat(n // 2, n)
+    near = [((place >= half) & known[line, 0]) | ((place <= half) & known[line, 1]) for known in (same, other)]
+    swapped = without[near[0]].view(np.int64)
     swapped[:, 0] ^= (place[near[0]] + 1) * np.int64(0x5851F42D4C957F2D)
-    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(swapped), near[1].sum(), 1])
-    return kinds, np.concatenate([swapped, key[1:][near[1]], key[:1]])
+    kinds = np.repeat(np.array([0, 1, 2], np.int32), [len(swapped), near[1].sum(), len(n)])
+    return (np.concatenate([line[near[0]], line[near[1]], np.arange(len(n))]), kinds,
+            np.concatenate([swapped, without[near[1]].view(np.int64), own.view(np.int64)]))
+
+
+def line_keys(words: list[bytes], same: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and keys of one line."""
+    return keys_of([words], same[None], other[None])[1:]
 
 
 def _variant_table(docs: DataFrame, chosen) -> DataFrame:
@@ -174,9 +197,8 @@ def _variant_table(docs: DataFrame, chosen) -> DataFrame:
     gives keys: the others have an earlier equal line and go for that.
     """
     def emit(held: dict) -> pa.RecordBatch:
-        kinds, keys = zip(*[line_keys(line.split(b" "), *found) for line, (_, found) in held.items()])
-        of = np.repeat(np.arange(len(held)), list(map(len, kinds)))
-        kind, key = np.concatenate(kinds), np.concatenate(keys)
+        found = np.array([f for _, f in held.values()], dtype=bool)
+        of, kind, key = keys_of([line.split(b" ") for line in held], found[:, :2], found[:, 2:])
         places = [o for o, _ in held.values()]
         columns = [pa.array([o[i] for o in places], t).take(pa.array(of)) for i, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int32()))]
         own = pa.array([line.decode("utf-8", "replace") for line in held], pa.string()).take(pa.array(of, mask=kind != 2))
@@ -184,7 +206,7 @@ def _variant_table(docs: DataFrame, chosen) -> DataFrame:
                                           names=["doc_id", "th", "line", "kind", "k1", "k2", "words"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = np.frombuffer(chosen.value, dtype=np.uint8), {}
+        bits, held = chosen.value, {}
         for batch in batches:
             for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 for number, words in _lines(text):
@@ -195,9 +217,11 @@ def _variant_table(docs: DataFrame, chosen) -> DataFrame:
                         if o < held[line][0]:
                             held[line] = (o, held[line][1])
                         continue
-                    slot = [2 * (_signed(h) % (FILTER_BITS // 2)) for h in halves(words)]
-                    found = [np.array([bits[x >> 3] >> (7 - (x & 7)) & 1 for x in (s + i for s in slot)], dtype=bool) for i in (0, 1)]
-                    if found[0][:2].any() or found[1].any():
+                    # the two bits of a half stand side by side, first that of its own length
+                    slot = [2 * (h % (FILTER_BITS // 2)) for h in halves(words)]
+                    two = [bits[x >> 3] >> (6 - (x & 7)) & 3 for x in slot]
+                    found = (two[0] & 2, two[1] & 2, two[0] & 1, two[1] & 1)
+                    if any(found) or (two[2] | two[3]) & 1:
                         held[line] = ((o[0], doc, th, number), found)
                 if len(held) >= HELD:
                     yield emit(held)
@@ -216,6 +240,7 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound."""
     chosen = docs.sparkSession.sparkContext.broadcast(_filter(lines))
     keys = stored(_variant_table(docs, chosen).select(_place("doc_id", "th", "line").alias("o"), "kind", "k1", "k2", "words"), "variants")
+    chosen.destroy()
     rows = keys.select("o", "kind", "k1", "k2")
     swapped, moved = rows.filter("kind = 0"), rows.filter("kind > 0")
     least = swapped.groupBy("k1", "k2").agg(F.min("o").alias("e"), F.count("*").alias("n")).filter("n > 1").drop("n")
