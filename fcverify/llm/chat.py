@@ -35,6 +35,7 @@ class Mapping:
 
     A role that begins with ``$`` is read from that field. ``id`` and ``turn`` are the fields of
     the conversation's id and of the turn's place. Optional turns (``?``) are left out when empty.
+    ``rename``: roles have other names in this layout (``ROLES``).
     """
 
     turns: tuple[tuple[str, str], ...] = ()
@@ -43,6 +44,13 @@ class Mapping:
     text: str = "text"
     id: str = "conv_id"
     turn: str | None = None
+    rename: bool = False
+
+    def needs(self) -> frozenset[str]:
+        """The fields of a record that the turns are made of."""
+        if self.items is not None:
+            return frozenset({self.items})
+        return frozenset(f for role, field in self.turns for f in (role[1:] if role[0] == "$" else None, field if field[0] != "?" else None) if f)
 
 
 #: Names that other layouts give to the roles.
@@ -52,7 +60,7 @@ _PATHS = {
     ("conv_id", "role", "text", "turn"): Mapping((("$role", "text"),), turn="turn"),
     ("conv_id", "messages", "messages[].content", "messages[].role"): Mapping(items="messages", text="content"),
     ("conv_id", "messages", "messages[].role", "messages[].text"): Mapping(items="messages"),
-    ("conversations", "conversations[].from", "conversations[].value", "conv_id"): Mapping(items="conversations", role="from", text="value"),
+    ("conversations", "conversations[].from", "conversations[].value", "conv_id"): Mapping(items="conversations", role="from", text="value", rename=True),
     ("conv_id", "prompt", "response"): Mapping((("user", "prompt"), ("assistant", "response"))),
     ("conv_id", "prompt", "response", "system"): Mapping((("system", "?system"), ("user", "prompt"), ("assistant", "response"))),
     ("conv_id", "instruction", "output"): Mapping((("user", "instruction"), ("assistant", "output"))),
@@ -81,18 +89,42 @@ MAPPINGS = {fingerprint(k): m for k, m in _PATHS.items()}
 
 
 def turns_of(record: dict, mapping: Mapping) -> Iterator[tuple[int, str, str]]:
-    """Place, role and text of each turn. Null texts are empty, null roles too; other values are written as JSON."""
+    """Place, role and text of each turn. Null texts are empty, null roles too; other values are written as JSON.
+
+    An entry of a list that is no object is a turn without a role. A list that is none has no turns.
+    """
     def plain(value) -> str:
         return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
     start = record.get(mapping.turn) if mapping.turn else None
     if mapping.items is not None:
-        rows = [(plain(x.get(mapping.role)), plain(x.get(mapping.text))) for x in record.get(mapping.items) or []]
+        items = record.get(mapping.items)
+        rows = [(plain(x.get(mapping.role)), plain(x.get(mapping.text))) if isinstance(x, dict) else ("", plain(x))
+                for x in (items if isinstance(items, list) else [])]
     else:
         rows = [(plain(record.get(role[1:])) if role[0] == "$" else role, plain(record.get(field.lstrip("?"))))
                 for role, field in mapping.turns if field[0] != "?" or plain(record.get(field[1:]))]
     for number, (role, text) in enumerate(rows):
-        yield (number if mapping.turn is None else start), ROLES.get(role, role), text
+        yield (number if mapping.turn is None else start), ROLES.get(role, role) if mapping.rename else role, text
+
+
+def mapping_of(record: dict, known: dict[int, Mapping]) -> Mapping | None:
+    """The mapping of the record's fingerprint; else, of those whose fields the record has, the one with the most.
+
+    So further fields are passed over, and an empty list or one with odd entries is read by the layout that has it.
+    """
+    exact = known.get(fingerprint(paths(record)))
+    if exact is not None:
+        return exact
+    fit = [m for m in known.values() if m.needs() <= record.keys()]
+    return max(fit, key=lambda m: (len(m.needs()), repr(m)), default=None)
+
+
+def _whole(value) -> int | None:
+    """An id or place as a long; null if it is none."""
+    if isinstance(value, str) and re.fullmatch(r"[+-]?[0-9]{1,18}", value):
+        return int(value)
+    return value if isinstance(value, int) and not isinstance(value, bool) and abs(value) < 1 << 63 else None
 
 
 _TURN = "conv_id long, turn long, item int, role string, text string"
@@ -101,7 +133,8 @@ _TURN = "conv_id long, turn long, item int, role string, text string"
 def canonical_turns(records: DataFrame, column: str = "record", mappings: dict[int, Mapping] | None = None) -> DataFrame:
     """``conv_id``, ``turn``, ``item``, ``role``, ``text`` of every turn of JSON records in any known layout.
 
-    A record of another layout fails the job with its paths, so no record is lost unseen. Null records have no turns.
+    A record of another layout (``mapping_of``), or text that is no JSON object, fails the job with its paths or its
+    beginning, so no record is lost unseen. Null records have no turns. An id or place that is no whole number is null.
     """
     known = MAPPINGS if mappings is None else mappings
 
@@ -111,12 +144,16 @@ def canonical_turns(records: DataFrame, column: str = "record", mappings: dict[i
             for line in batch.column(0).to_pylist():
                 if line is None:
                     continue
-                record = json.loads(line)
-                found = paths(record)
-                mapping = known.get(fingerprint(found))
+                try:
+                    record = json.loads(line)
+                except ValueError:
+                    record = None
+                if not isinstance(record, dict):
+                    raise ValueError(f"no JSON object: {line[:80]!r}")
+                mapping = mapping_of(record, known)
                 if mapping is None:
-                    raise ValueError(f"no mapping for a record with the paths {sorted(found)}")
-                rows += [(record.get(mapping.id), turn, item, role, text)
+                    raise ValueError(f"no mapping for a record with the paths {sorted(paths(record))}")
+                rows += [(_whole(record.get(mapping.id)), _whole(turn), item, role, text)
                          for item, (turn, role, text) in enumerate(turns_of(record, mapping))]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, kinds)],

@@ -73,23 +73,25 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["lang", "h", "at", "n"])
 
 
-def fit(docs: DataFrame, per_language: int = 500, max_languages: int = 200, epochs: int = 8, rate: float = 0.4,
+def fit(docs: DataFrame, per_language: int = 500, in_all: int = 100_000, epochs: int = 8, rate: float = 0.4,
         reject: float = 0.001, seed: int = 7) -> LanguageModel:
-    """Train on about ``per_language`` texts of each of the ``max_languages`` most frequent languages.
+    """Train on about ``per_language`` texts of every language, on fewer of each if that would make more than ``in_all``.
 
-    Rows are drawn by a hash of id and text; the total is bounded by twice their product,
-    and no text gives more than one number per bucket. ``reject`` is the share of the
-    texts it was calibrated on that the threshold may cost.
+    Rows are drawn by a hash of id and text; the total is bounded by twice ``in_all`` or by two rows
+    a language, and no text gives more than one number per bucket. Languages are the values of ``lang``: tags,
+    thousands at most. ``reject`` is the share of the texts it was calibrated on that the threshold may cost. A fifth
+    of the sample is kept for calibration; with under 50 rows the rows that were learned from are used for it.
     """
     h = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30))
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang"))
             .filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()
                     & ~held_out(F.col("doc_id"))))
-    counts = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    counts = rows.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     names = tuple(sorted(r["lang"] for r in counts))
+    per_language = max(1, min(per_language, in_all // len(names)))
     below = F.create_map(*[F.lit(x) for r in counts
                            for x in (r["lang"], min(1 << 30, int(per_language * (1 << 30) / r["count"]) + 1))])
     drawn = (rows.withColumn("h", h).filter(F.col("h") < below[F.col("lang")]).select("lang", "h", "text")

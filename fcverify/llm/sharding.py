@@ -97,7 +97,11 @@ def plan_ranges(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, list]
 
 
 def deal(units: list, shards: int = SHARDS) -> dict[tuple[int, int], int]:
-    """Shard of every unit: large groups whole where they fit, the largest first to the emptiest shard; then runs of ranges."""
+    """Shard of every unit: large groups first, the largest to the emptiest shard; then runs of ranges.
+
+    A group of equal texts stays whole if it is at most half a shard's share, or if a shard has room for it; else its
+    pieces are dealt out, as the shards could not be near equal with it.
+    """
     total = sum(u["bytes"] for u in units)
     fair = total / shards
     groups: dict[int, list] = {}
@@ -108,12 +112,14 @@ def deal(units: list, shards: int = SHARDS) -> dict[tuple[int, int], int]:
     for part, own in groups.items():
         size = sum(u["bytes"] for u in own)
         if own[0]["single"] and size > fair / RANGES * OVERFULL:
-            large += [own] if size <= fair / 2 else [[u] for u in own]
+            large.append(own)
         else:
             rest += own
     for own in sorted(large, key=lambda own: (-sum(u["bytes"] for u in own), own[0]["part"], own[0]["piece"])):
-        to = int(filled.argmin())
+        size, to = sum(u["bytes"] for u in own), int(filled.argmin())
+        whole = size <= fair / 2 or filled[to] + size <= fair
         for u in own:
+            to = to if whole else int(filled.argmin())
             shard_of[u["part"], u["piece"]] = to
             filled[to] += u["bytes"]
     # the others in the order of their keys; a shard ends where the next range would lead further from its share

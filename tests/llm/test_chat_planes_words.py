@@ -49,6 +49,30 @@ def test_layouts_become_canonical_turns(spark):
     assert got == {r["conv_id"]: t for r, t in LAYOUTS}
 
 
+ODD = [
+    ({"conv_id": 1, "messages": []}, []),
+    ({"conv_id": 2, "messages": [None, {"role": "user", "content": "a"}, "b", 3]}, [("", ""), ("user", "a"), ("", "b"), ("", "3")]),
+    ({"conv_id": 3, "prompt": "p", "response": "r", "score": {"a": [1]}}, [("user", "p"), ("assistant", "r")]),
+    ({"conv_id": "4", "turn": 0, "role": "human", "text": "x"}, [("human", "x")]),
+    ({"conv_id": "none", "turn": None, "role": "bot", "text": None, "more": 1}, [("bot", "")]),
+    ({"conv_id": 6, "conversations": [{"from": "bot", "value": "x"}, {"from": "model", "value": "y", "extra": 1}]}, [("assistant", "x"), ("assistant", "y")]),
+    ({"conv_id": 7, "messages": None}, []),
+]
+
+
+def test_odd_records_are_kept(spark):
+    for record, want in ODD:
+        got = chat.canonical_turns(spark.createDataFrame([(json.dumps(record),)], "record string")).orderBy("item").collect()
+        assert [(r["role"], r["text"]) for r in got] == want
+        assert {r["conv_id"] for r in got} <= {None if record["conv_id"] == "none" else int(record["conv_id"])}
+
+
+@pytest.mark.parametrize("line", ["[1]", "{", "3", '"x"'])
+def test_other_text_fails_loudly(spark, line):
+    with pytest.raises(Exception, match="no JSON object"):
+        chat.canonical_turns(spark.createDataFrame([(line,)], "record string")).collect()
+
+
 def test_unknown_layout_fails_loudly(spark):
     with pytest.raises(Exception, match="no mapping"):
         chat.canonical_turns(spark.createDataFrame([('{"a": 1}',)], "record string")).collect()

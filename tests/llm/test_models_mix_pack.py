@@ -52,6 +52,15 @@ def test_held_out_rows_teach_nothing(spark, docs, prose):
     assert held == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
+def test_rare_languages_are_learned_too(docs, prose):
+    """More languages than a small sample has room for; the rarest has two rows."""
+    rows = [(i, prose(i, 40, "abcdefg"), "common") for i in range(300)]
+    rows += [(1000 + 10 * k + i, prose(k, 5, "xyz"), f"rare{k}") for k in range(30) for i in range(2 + k % 2)]
+    model = langid.fit(docs(rows), per_language=50, in_all=60, epochs=1)
+    learned = {lang for doc, _, lang in rows if zlib.crc32(str(doc).encode()) % 3 != 1}
+    assert set(model.languages) == learned and len(learned) > 25
+
+
 def test_no_language_to_learn(docs):
     model = langid.fit(docs([(1, "abc", None)]))
     assert [(r["lang_pred"], r["rejected"]) for r in langid.identify(docs([(1, "abc"), (2, None)]), model).collect()] == [("und", False), ("und", True)]
@@ -194,6 +203,17 @@ def test_a_hot_text_is_spread(docs, prose):
     assert sorted(len(s) for s in where.values())[-2:][0] == 1
 
 
+def test_a_group_stays_whole_while_a_shard_has_room():
+    unit = lambda part, piece, size: {"part": part, "piece": piece, "bytes": size, "n": 1, "single": True}
+    groups = [[unit(p, k, 10) for k in range(7)] for p in range(6)]  # six groups of 70 bytes for four shards of 105
+    placed = sharding.deal([u for g in groups for u in g], 4)
+    spread = [len({placed[u["part"], u["piece"]] for u in g}) for g in groups]
+    filled = Counter()
+    for (part, piece), to in placed.items():
+        filled[to] += 10
+    assert spread.count(1) == 4 and max(filled.values()) <= 110 and sum(filled.values()) == 420
+
+
 def test_shards_of_few_rows(docs):
     assert sharding.shard(docs([])).collect() == []
     got = sharding.shard(docs([(1, None), (1, None), (2, "x" * 1000)])).collect()
