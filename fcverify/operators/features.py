@@ -43,19 +43,23 @@ def _nwp_at(nwp: DataFrame, prefix: str, time_name: str, source: str = "era5") -
 
 
 def _issue_state(grid: DataFrame, obs: DataFrame, nwp: DataFrame) -> DataFrame:
-    """What is known at each distinct (icao, t0): state now, lagged states, model at t0.
+    """What is known at each distinct (icao, t0) with a fresh observation: features of the state now and of lagged
+    states, model at t0.
 
     Built once per issue time, not once per lead, which is the smaller side by the
-    number of leads and valid hours that share the issue time.
+    number of leads and valid hours that share the issue time. Features are plain columns
+    from here on, so a column that is not asked for is not shuffled.
     """
-    known = asof_lags(grid, obs, "t0", (0, *LAGS_H), STATE_NOW)
+    known = fresh(asof_lags(grid, obs, "t0", (0, *LAGS_H), STATE_NOW))
+    known = known.select("icao", "t0", F.col("lag_0.matched_at").alias("o0_time"), *state_exprs())
     return (known.withColumn("_h0", hour_floor(F.col("t0")))
             .join(_nwp_at(nwp, "e0", "_h0"), ["icao", "_h0"], "left").drop("_h0"))
 
 
-def _raw(grid: DataFrame, obs: DataFrame, nwp: DataFrame, stations: DataFrame) -> DataFrame:
+def _raw(grid: DataFrame, issues: DataFrame, obs: DataFrame, nwp: DataFrame, stations: DataFrame) -> DataFrame:
+    """``issues`` has the (icao, t0) of ``grid``, before anything was joined to it."""
     places = stations.select("icao", "region", "elevation_m", "lat", "lon")
-    return grid.join(_issue_state(grid, obs, nwp), ["icao", "t0"]).join(places, "icao")
+    return grid.join(_issue_state(issues, obs, nwp), ["icao", "t0"]).join(places, "icao")
 
 
 def target_grid(obs: DataFrame, leads: Sequence[int] = LEADS_H, start=None, end=None,
@@ -87,9 +91,10 @@ def training_samples(obs: DataFrame, nwp: DataFrame, stations: DataFrame,
     The model fields of the valid hour are joined before the rows multiply by lead.
     """
     targets = target_grid(obs, leads, start, end, icaos, sample_pct, percent)
+    issues = _with_leads(targets.select("icao", "valid_time"), leads)
     targets = (targets.withColumn("_h", hour_floor(F.col("valid_time")))
                .join(_nwp_at(nwp, "et", "_h"), ["icao", "_h"], "left").drop("_h"))
-    return engineer(_raw(_with_leads(targets, leads), obs, nwp, stations), targets=True)
+    return engineer(_raw(_with_leads(targets, leads), issues, obs, nwp, stations), targets=True)
 
 
 def request_features(requests: DataFrame, obs: DataFrame, nwp: DataFrame,
@@ -101,7 +106,7 @@ def request_features(requests: DataFrame, obs: DataFrame, nwp: DataFrame,
     grid = (requests.withColumn("lead_h", hour_boundaries(F.col("t0"), F.col("valid_time")))
             .withColumn("_h", hour_floor(F.col("valid_time")))
             .join(_nwp_at(nwp, "et", "_h"), ["icao", "_h"], "left").drop("_h"))
-    return engineer(_raw(grid, obs, nwp, stations), targets=False)
+    return engineer(_raw(grid, requests, obs, nwp, stations), targets=False)
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -115,7 +120,8 @@ def _ceiling(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(float(NO_CEILING_FT)))
 
 
-def feature_exprs() -> list[Column]:
+def state_exprs() -> list[Column]:
+    """Features of the observations known at issue."""
     now = F.col("lag_0")
     number = lambda s, f: s[f].cast("double")
     spread = lambda s: number(s, "temp_c") - number(s, "dewpoint_c")
@@ -139,9 +145,15 @@ def feature_exprs() -> list[Column]:
             (spread(now) - spread(past)).alias(f"f_dspread_{lag}"),
             (number(now, "wind_spd_kt") - number(past, "wind_spd_kt")).alias(f"f_dwspd_{lag}"),
         ]
-    then, issue = F.col("et"), F.col("e0")
+    return out
+
+
+def feature_exprs(state: Sequence[str]) -> list[Column]:
+    """All features, from the columns ``state`` of the observed ones, the model fields and the grid."""
     dry = lambda s: s["t2m_c"] - s["d2m_c"]
-    out += [
+    then, issue = F.col("et"), F.col("e0")
+    return [
+        *state,
         then["wind10m_spd"].alias("f_et_wspd"), then["gust"].alias("f_et_gust"),
         then["t2m_c"].alias("f_et_t2m"), dry(then).alias("f_et_spread"),
         then["tcc"].alias("f_et_tcc"), then["cbh_m"].alias("f_et_cbh"),
@@ -156,7 +168,6 @@ def feature_exprs() -> list[Column]:
         *day_cycle("f_", F.col("valid_time")),
         F.col("elevation_m").alias("f_elevation"), F.col("lat").alias("f_lat"), F.col("lon").alias("f_lon"),
     ]
-    return out
 
 
 def target_exprs() -> list[Column]:
@@ -173,8 +184,8 @@ def target_exprs() -> list[Column]:
 
 def engineer(raw: DataFrame, targets: bool) -> DataFrame:
     keys = [c for c in ("obs_id", "icao", "region", "t0", "valid_time", "lead_h") if c in raw.columns]
-    return fresh(raw).select(*keys, F.col("lag_0.matched_at").alias("o0_time"), *feature_exprs(),
-                             *(target_exprs() if targets else []))
+    state = [c for c in raw.columns if c.startswith("f_")]
+    return raw.select(*keys, "o0_time", *feature_exprs(state), *(target_exprs() if targets else []))
 
 
 def feature_columns(df: DataFrame) -> list[str]:

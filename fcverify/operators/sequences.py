@@ -14,6 +14,7 @@ from fcverify.operators.asof import asof_keys
 from fcverify.operators.features import NWP_USED, STATE_NOW
 from fcverify.operators.nearest import nearest_by_hour
 from fcverify.schema import ANCHOR_MAX_AGE_H, HORIZON, NO_CEILING_FT, PAST_LEN, SEQUENCE_TOLERANCE_S
+from fcverify.session import checkpoint
 
 PAST_FEATURES = ("vis", "ceiling", "has_ceiling", "wspd", "wdir_sin", "wdir_cos", "spread", "temp", "cat_code", "fresh")
 COVARIATES = ("et_wspd", "et_wdir_sin", "et_wdir_cos", "et_gust", "et_t2m", "et_spread", "et_tcc", "et_cbh",
@@ -47,61 +48,103 @@ def _ceiling(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(float(NO_CEILING_FT)))
 
 
+def _encoder_columns(s: Column) -> list[Column]:
+    """The encoder's columns from the last observation ``s`` at or before ``hour``."""
+    age = F.unix_micros("hour") - F.unix_micros(s["matched_at"])
+    return [
+        _number(s["vis_m"]).alias("vis"), _ceiling(s["ceiling_ft"]).alias("ceiling"),
+        s["ceiling_ft"].isNotNull().cast("double").alias("has_ceiling"), _number(s["wind_spd_kt"]).alias("wspd"),
+        *_circle("wdir", s["wind_dir_deg"]), (_number(s["temp_c"]) - _number(s["dewpoint_c"])).alias("spread"),
+        _number(s["temp_c"]).alias("temp"), _number(category_rank(s["flight_category"])).alias("cat_code"),
+        F.coalesce(age <= ANCHOR_MAX_AGE_H * 3_600_000_000, F.lit(False)).cast("double").alias("fresh")]
+
+
+def _target_columns(o: Column) -> list[Column]:
+    """The targets from the nearest observation ``o``; ``has_obs`` is the mask."""
+    return [
+        _number(o["vis_m"]).alias("vis"), _ceiling(o["ceiling_ft"]).alias("ceiling"),
+        _number(o["wind_spd_kt"]).alias("wspd"), *_circle("wdir", o["wind_dir_deg"]),
+        category_rank(o["flight_category"]).alias("cat_code"),
+        o["flight_category"].isNotNull().cast("int").alias("has_obs")]
+
+
+def _covariate_columns(m: Column) -> list[Column]:
+    """Model fields ``m`` and cyclical time of ``hour``."""
+    return [
+        m["wind10m_spd"].alias("et_wspd"), *_circle("et_wdir", m["wind10m_dir"]),
+        m["gust"].alias("et_gust"), m["t2m_c"].alias("et_t2m"), (m["t2m_c"] - m["d2m_c"]).alias("et_spread"),
+        m["tcc"].alias("et_tcc"), m["cbh_m"].alias("et_cbh"), m["tp_mm"].alias("et_tp"),
+        m["mslp_hpa"].alias("et_msl"), *day_cycle("", F.col("hour"))]
+
+
+def _model_fields(nwp: DataFrame, source: str) -> DataFrame:
+    """(icao, hour, m): the model fields of one source."""
+    return nwp.filter(F.col("source") == source).select(
+        "icao", F.col("valid_time").alias("hour"), F.struct(*[_number(F.col(f)).alias(f) for f in NWP_USED]).alias("m"))
+
+
 def encoder_state(axis: DataFrame, obs: DataFrame) -> DataFrame:
     """Last known state of every axis hour, with a flag for a recent observation.
 
     The first hour has no state if the first observation falls inside it.
     """
-    known = asof_keys(axis, obs, "hour", STATE_NOW, into="s")
-    s = F.col("s")
-    age = F.unix_micros("hour") - F.unix_micros(s["matched_at"])
-    return known.select(
-        "icao", "hour", _number(s["vis_m"]).alias("vis"), _ceiling(s["ceiling_ft"]).alias("ceiling"),
-        s["ceiling_ft"].isNotNull().cast("double").alias("has_ceiling"), _number(s["wind_spd_kt"]).alias("wspd"),
-        *_circle("wdir", s["wind_dir_deg"]), (_number(s["temp_c"]) - _number(s["dewpoint_c"])).alias("spread"),
-        _number(s["temp_c"]).alias("temp"), _number(category_rank(s["flight_category"])).alias("cat_code"),
-        F.coalesce(age <= ANCHOR_MAX_AGE_H * 3_600_000_000, F.lit(False)).cast("double").alias("fresh"))
+    return asof_keys(axis, obs, "hour", STATE_NOW, into="s").select("icao", "hour", *_encoder_columns(F.col("s")))
 
 
 def target_state(axis: DataFrame, obs: DataFrame) -> DataFrame:
     """State observed within half an hour of every axis hour; ``has_obs`` is the mask."""
     near = nearest_by_hour(obs, [c for c in STATE_NOW], tolerance_s=SEQUENCE_TOLERANCE_S)
     rows = axis.select("icao", "hour").join(near.withColumnRenamed("valid_hour", "hour"), ["icao", "hour"], "left")
-    o = F.col("obs")
-    return rows.select(
-        "icao", "hour", _number(o["vis_m"]).alias("vis"), _ceiling(o["ceiling_ft"]).alias("ceiling"),
-        _number(o["wind_spd_kt"]).alias("wspd"), *_circle("wdir", o["wind_dir_deg"]),
-        category_rank(o["flight_category"]).alias("cat_code"),
-        o["flight_category"].isNotNull().cast("int").alias("has_obs"))
+    return rows.select("icao", "hour", *_target_columns(F.col("obs")))
 
 
 def covariates(axis: DataFrame, nwp: DataFrame, source: str = "era5") -> DataFrame:
     """Model fields and cyclical time of every axis hour."""
-    fields = nwp.filter(F.col("source") == source).select(
-        "icao", F.col("valid_time").alias("hour"), *[_number(F.col(f)).alias(f) for f in NWP_USED])
-    rows = axis.select("icao", "hour").join(fields, ["icao", "hour"], "left")
-    return rows.select(
-        "icao", "hour", F.col("wind10m_spd").alias("et_wspd"), *_circle("et_wdir", F.col("wind10m_dir")),
-        F.col("gust").alias("et_gust"), F.col("t2m_c").alias("et_t2m"), (F.col("t2m_c") - F.col("d2m_c")).alias("et_spread"),
-        F.col("tcc").alias("et_tcc"), F.col("cbh_m").alias("et_cbh"), F.col("tp_mm").alias("et_tp"),
-        F.col("mslp_hpa").alias("et_msl"), *day_cycle("", F.col("hour")))
-
+    rows = axis.select("icao", "hour").join(_model_fields(nwp, source), ["icao", "hour"], "left")
+    return rows.select("icao", "hour", *_covariate_columns(F.col("m")))
 
-def _struct(names: Sequence[str], prefix: str = "") -> Column:
-    """Named doubles with unknown values as 0."""
-    return F.struct(*[F.coalesce(F.nanvl(F.col(n), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
 
+def station_hours(obs: DataFrame, nwp: DataFrame, source: str = "era5") -> DataFrame:
+    """(icao, hour) with structs ``past``, ``ahead`` and ``target`` and the axis ends, in one grouped pass.
 
-def station_hours(obs: DataFrame, nwp: DataFrame) -> DataFrame:
-    """(icao, hour) with structs ``past``, ``ahead`` and ``target`` and the axis ends."""
-    axis = hourly_axis(obs)
-    enc = encoder_state(axis, obs).select("icao", "hour", _struct(PAST_FEATURES).alias("past"), "fresh")
-    ahead = covariates(axis, nwp).select("icao", "hour", _struct(COVARIATES + CYCLES).alias("ahead"))
-    tgt = target_state(axis, obs).select("icao", "hour", F.struct(
-        *[F.coalesce(F.col(t), F.lit(0.0)).alias(t) for t in TARGETS],
-        F.when(F.col("has_obs") == 1, F.col("cat_code")).otherwise(-1).alias("cat"),
-        F.col("has_obs").alias("mask")).alias("target"))
-    return axis.join(enc, ["icao", "hour"]).join(ahead, ["icao", "hour"]).join(tgt, ["icao", "hour"])
+    Every observation goes to the hour it lies in, which it may be nearest to, and to the next one, whose state it may
+    be; model rows go to their hour. One aggregate by station and hour folds them. What is left has at most one row
+    a station and calendar hour; over these the state is carried forward, and hours without any row are put in.
+    """
+    time, hour = F.col("observed_at"), hour_floor(F.col("observed_at"))
+    following = F.when(time == hour, hour).otherwise(hour + F.expr("interval 1 hour"))
+    gap = F.abs(F.unix_micros(time) - F.unix_micros("hour"))
+    state = F.struct(time.alias("matched_at"), *STATE_NOW)
+    seen = (obs.filter(time.isNotNull()).select("icao", "obs_id", "observed_at", hour.alias("_own"), state.alias("s"),
+                                                F.explode(F.array_distinct(F.array(hour, following))).alias("hour"))
+            .select("icao", "hour", "s", F.lit(None).cast(_model_fields(nwp, source).schema["m"].dataType).alias("m"), F.col("_own"),
+                    F.when(time <= F.col("hour"), F.struct(time, "obs_id")).alias("_upto"),
+                    F.when(gap <= SEQUENCE_TOLERANCE_S * 1_000_000, F.struct(gap, -F.unix_micros(time), -F.col("obs_id"))).alias("_near")))
+    none = lambda c: F.lit(None).cast(seen.schema[c].dataType).alias(c)
+    model = _model_fields(nwp, source).select("icao", "hour", none("s"), "m", none("_own"), none("_upto"), none("_near"))
+    folded = seen.unionByName(model).groupBy("icao", "hour").agg(
+        F.max_by("s", "_upto").alias("s"), F.min_by("s", "_near").alias("o"), F.max("m").alias("m"),
+        F.min("_own").alias("_lo"), F.max("_own").alias("_hi"))
+    whole = Window.partitionBy("icao")
+    order = whole.orderBy("hour")
+    carried = (folded.withColumns({
+        "first_hour": F.min("_lo").over(whole), "last_hour": F.max("_hi").over(whole),
+        "s": F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+        .filter(F.col("hour").between(F.col("first_hour"), F.col("last_hour")))
+        .withColumn("_next", F.lead("hour").over(order)))
+    until = F.coalesce(F.col("_next") - F.expr("interval 1 hour"), F.col("hour"))
+    rows = carried.select("icao", "first_hour", "last_hour", "s", "o", "m", F.posexplode(F.sequence("hour", until, F.expr("interval 1 hour"))).alias("_k", "hour"))
+    own = lambda c: F.when(F.col("_k") == 0, F.col(c)).alias(c)
+    rows = rows.select("icao", "hour", "first_hour", "last_hour", "s", own("o"), own("m"))
+    keys = ["icao", "hour", "first_hour", "last_hour"]
+    rows = rows.select(*keys, F.struct(*_encoder_columns(F.col("s"))).alias("e"), F.struct(*_target_columns(F.col("o"))).alias("t"),
+                       F.struct(*_covariate_columns(F.col("m"))).alias("c"))
+    known = lambda struct, names: F.struct(*[F.coalesce(F.nanvl(F.col(f"{struct}.{n}"), F.lit(0.0)), F.lit(0.0)).alias(n) for n in names])
+    return rows.select(
+        *keys, known("e", PAST_FEATURES).alias("past"), known("c", COVARIATES + CYCLES).alias("ahead"),
+        F.struct(*[F.coalesce(F.col(f"t.{n}"), F.lit(0.0)).alias(n) for n in TARGETS],
+                 F.when(F.col("t.has_obs") == 1, F.col("t.cat_code")).otherwise(-1).alias("cat"), F.col("t.has_obs").alias("mask")).alias("target"),
+        F.col("e.fresh").alias("fresh"))
 
 
 def issue_hours(hours: DataFrame, past_len: int = PAST_LEN, horizon: int = HORIZON,
@@ -123,11 +166,20 @@ def sequence_windows(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_l
     station's history is spread over tasks; every issue hour is answered in the
     block it lies in.
     """
-    block_hours = max(BLOCK_HOURS, past_len + horizon)
+    return windows_of(_hours(obs, nwp, stations, icaos), stations, past_len, horizon, sample_pct)
+
+
+def _hours(obs: DataFrame, nwp: DataFrame, stations: DataFrame, icaos=None) -> DataFrame:
     if icaos is not None:
         obs = obs.filter(F.col("icao").isin(*icaos))
-    obs = obs.join(stations.select("icao"), "icao", "left_semi")
-    hours = station_hours(obs, nwp).withColumn("_i", F.floor(F.unix_seconds("hour") / F.lit(3600)))
+    return station_hours(obs.join(stations.select("icao"), "icao", "left_semi"), nwp)
+
+
+def windows_of(hours: DataFrame, stations: DataFrame, past_len: int = PAST_LEN, horizon: int = HORIZON,
+               sample_pct: int | None = None) -> DataFrame:
+    """The windows over ``station_hours``."""
+    block_hours = max(BLOCK_HOURS, past_len + horizon)
+    hours = hours.withColumn("_i", F.floor(F.unix_seconds("hour") / F.lit(3600)))
     block = lambda i: F.floor(i / F.lit(block_hours))
     blocks = F.array_distinct(F.array(block(F.col("_i") - horizon), block(F.col("_i") + past_len - 1), block(F.col("_i"))))
     spread = hours.withColumn("_block", F.explode(blocks))
@@ -161,22 +213,21 @@ def sequence_windows(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_l
 
 def station_ids(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_len: int = PAST_LEN,
                 horizon: int = HORIZON, sample_pct: int | None = None) -> DataFrame:
-    """(icao, station_id): stations that have sequences, numbered in code order.
+    """(icao, station_id): stations that have sequences, numbered in code order."""
+    return _numbered(_hours(obs, nwp, stations), past_len, horizon, sample_pct)
 
-    Found on the hourly axis without building windows. The numbering runs over the
-    station list only.
-    """
-    axis = hourly_axis(obs.join(stations.select("icao"), "icao", "left_semi"))
-    hours = axis.join(encoder_state(axis, obs).select("icao", "hour", "fresh"), ["icao", "hour"])
+
+def _numbered(hours: DataFrame, past_len: int, horizon: int, sample_pct: int | None) -> DataFrame:
+    """Found on the hours without building windows. The numbering runs over the station list only."""
     have = issue_hours(hours, past_len, horizon, sample_pct).select("icao").distinct()
     return have.withColumn("station_id", (F.row_number().over(Window.orderBy("icao")) - 1).cast("long"))
 
 
 def build_sequences(obs: DataFrame, nwp: DataFrame, stations: DataFrame, past_len: int = PAST_LEN,
                     horizon: int = HORIZON, sample_pct: int | None = None) -> DataFrame:
-    """Windows of all stations with their integer station id."""
-    ids = station_ids(obs, nwp, stations, past_len, horizon, sample_pct)
-    return sequence_windows(obs, nwp, stations, past_len, horizon, sample_pct).join(ids, "icao")
+    """Windows of all stations with their integer station id; the hours are made once for both."""
+    hours = checkpoint(_hours(obs, nwp, stations))
+    return windows_of(hours, stations, past_len, horizon, sample_pct).join(_numbered(hours, past_len, horizon, sample_pct), "icao")
 
 
 def split_sequences(sequences: DataFrame, train_end: str, validation_end: str) -> DataFrame:

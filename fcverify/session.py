@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A union that passes its children's partitioning on lets a window or join above it skip its exchange, although
+    # the children's partitions are not lined up in every plan: rows were lost. Needless where Spark lacks it.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
