@@ -11,9 +11,11 @@ from fcverify.functions import conditions as C
 from fcverify.functions.timetokens import resolve_time
 from fcverify.operators import decode as D
 from fcverify.operators import grid as G
+from fcverify.plans.backfill import Store, rescore
 from fcverify.session import checkpoint_folder
 from fcverify.sources import feeds
 from fcverify.sources import tables as T
+from fcverify.sources.dated import DatedTable, day_of, pending
 
 # --- messages built from the test tables, to be decoded back ----------------
 
@@ -227,7 +229,11 @@ def granule_scan(v):
 
 # --- stored tables ----------------------------------------------------------
 
-@register("stored_twice", """select 'raw_metar' as name, count(*) as first, 0 as second, count(*) as stored from (select distinct icao, observed_at from obs_v)
+_RAW_KEYS = "select 'raw_metar' as name, count(*) as first, 0 as second, count(*) as stored from (select distinct icao, observed_at from obs_v)"
+
+
+@register("stored_twice", _RAW_KEYS + """
+ union all select 'raw_taf', count(*), 0, count(*) from (select distinct icao, issued_at from taf_v)
  union all select 'nwp_point', count(*), 0, count(*) from (select distinct icao, valid_time, source from nwp_v)
  union all select 'expected_hour', count(*), 0, count(*) from expected_v
  union all select 'verification_hourly', count(*), 0, count(*) from scored_v""")
@@ -235,7 +241,9 @@ def stored_twice(v):
     """Every sink run twice over the same rows: what each run added, and what is stored. Then all scores are replaced by themselves."""
     root = f"{checkpoint_folder(v.spark)}/store-{uuid.uuid4().hex}"
     metar = v.obs.select("icao", "observed_at", F.concat(F.lit("METAR "), "icao").alias("raw_text"), F.lit("iem").alias("source"))
-    sinks = {"raw_metar": lambda p: T.store_raw(metar, p, "raw_metar", dedup_batch=True), "nwp_point": lambda p: T.store_nwp(v.nwp, p),
+    taf = v.taf.select("icao", "issued_at", "valid_from", "valid_to", F.concat(F.lit("TAF "), "icao").alias("raw_text"), F.lit("ogimet").alias("source"))
+    sinks = {"raw_metar": lambda p: T.store_raw(metar, p, "raw_metar", dedup_batch=True),
+             "raw_taf": lambda p: T.store_raw(taf, p, "raw_taf", dedup_batch=True), "nwp_point": lambda p: T.store_nwp(v.nwp, p),
              "expected_hour": lambda p: T.store_expected_hours(v.expected, p), "verification_hourly": lambda p: T.store_verification(v.scored, p)}
     rows = []
     for name, sink in sinks.items():
@@ -247,6 +255,52 @@ def stored_twice(v):
     return v.spark.createDataFrame(rows, "name string, first long, second long, stored long")
 
 
+@register("dated_append", """select obs_id, icao, observed_at, source from (select *, row_number() over (partition by icao, observed_at, source order by obs_id%3) as rn
+ from (select obs_id, icao, observed_at, case when obs_id%7=0 then null else 'iem' end as source from obs_v)) where rn = 1""")
+def dated_append(v):
+    """Three overlapping batches and a repeat into a table by day; the last one's digests are there, its rows are not."""
+    table = DatedTable(v.spark, f"{checkpoint_folder(v.spark)}/dated-{uuid.uuid4().hex}", ["icao", "observed_at", "source"], day_of(F.col("observed_at")))
+    rows = v.obs.select("obs_id", "icao", "observed_at", F.when(F.col("obs_id") % 7 != 0, "iem").alias("source"))
+    for k in (0, 1, 0, 2):
+        part = rows.filter(F.col("obs_id") % 3 == k)
+        if k == 2:
+            table._write(part.select(table.day.alias("day"), F.xxhash64(*table.keys).alias("_d")), f"{table.path}_keys", ["day"], "append")
+        table.append(part, dedup_batch=True)
+    return table.read().drop("day")
+
+
+@register("dated_pending", "select event_id as id, icao from ev_v where k%4 <> 0 or (date_trunc('day', ts) < '2024-01-11' and k%4 = 0 and event_id%50 = 0)")
+def dated_pending(v):
+    """Raw rows without a decoded one, from the days that lack some: in a few days all but every fiftieth are decoded."""
+    root = f"{checkpoint_folder(v.spark)}/pending-{uuid.uuid4().hex}"
+    day = day_of(F.col("ts"))
+    raw = DatedTable(v.spark, f"{root}/raw", ["id"], day)
+    done = DatedTable(v.spark, f"{root}/done", ["raw_id"], F.col("raw_day"))
+    raw.append(v.events.select(F.col("event_id").alias("id"), "icao", "ts"))
+    done.append(v.events.filter("k % 4 = 0 and not (ts < '2024-01-11' and event_id % 50 = 0)")
+                .select(F.col("event_id").alias("raw_id"), day.alias("raw_day")))
+    return pending(raw, done, "raw_id", "raw_day").select("id", "icao")
+
+
+def _scored_store(v, forecasts) -> Store:
+    store = Store(v.spark, f"{checkpoint_folder(v.spark)}/rescore-{uuid.uuid4().hex}")
+    store.append("taf_forecast", forecasts.withColumn("raw_taf_id", F.col("taf_id")))
+    store.append("taf_group", v.groups)
+    store.append("metar_obs", v.obs.withColumn("raw_metar_id", F.col("obs_id")))
+    return store
+
+
+@register("rescored", """select taf_id, valid_hour, scoring_profile, category_outcome, round(fcst_prob,6) as fcst_prob, round(vis_err_m,6) as vis_err_m
+ from verif_v where scoring_profile <> 'climatology'""")
+def rescored(v):
+    """Scores stored from cut observations, then every profile scored again over all of them."""
+    store = _scored_store(v, v.taf)
+    wrong = v.verification.filter("scoring_profile <> 'climatology' and taf_id % 2 = 0").withColumn("category_outcome", F.lit("?"))
+    store.append("verification_hourly", wrong)
+    rescore(store, ["categorical", "persistence"])
+    return store.read("verification_hourly").select("taf_id", "valid_hour", "scoring_profile", "category_outcome", "fcst_prob", "vis_err_m")
+
+
 @register("keyed_append", """select obs_id, icao, observed_at, source from (select obs_id, icao, observed_at, case when obs_id%3=0 then null else 'iem' end as source from obs_v) o
  where not exists (select 1 from obs_v s where s.obs_id%2=0 and s.icao = o.icao and s.observed_at = o.observed_at and
   (case when s.obs_id%3=0 then null else 'iem' end) is not distinct from o.source)""")

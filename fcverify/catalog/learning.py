@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fcverify.catalog import register, rounded
@@ -12,12 +14,15 @@ from fcverify.fixtures import FIXTURE_TRAIN_END, FIXTURE_VAL_END, own_window_sco
 from fcverify.functions import scoring as S
 from fcverify.functions.conditions import flight_category
 from fcverify.operators import bootstrap as B
+from fcverify.operators import draws as W
 from fcverify.operators import forecasters as FC
 from fcverify.operators import probgroups as G
 from fcverify.operators import thresholds as T
 from fcverify.operators.verification import score_own_window, score_profile
 from fcverify.plans import gate as gate_plan
 from fcverify.plans import ladder
+from fcverify.session import checkpoint_folder
+from fcverify.sources import tables
 
 # --- thresholds -------------------------------------------------------------
 
@@ -97,7 +102,7 @@ def pair_cells(v):
 
 _H = "2.0::double*({h}*{c}-{m}*{f})/(({h}+{m})*({m}+{c})+({h}+{f})*({f}+{c}))"
 _POINT = """select n as n_paired, round(%s,6) as champion_hss, round(%s,6) as challenger_hss, round(champion_bss,6) as champion_bss,
- round(challenger_bss,6) as challenger_bss, round(%s - %s,6) as hss_diff, true as in_interval from (select count(*) as n,
+ round(challenger_bss,6) as challenger_bss, round(%s - %s,6) as hss_diff from (select count(*) as n,
  %s, %s, %s, %s from pair_v)""" % (
     _H.format(h="ah", m="am", f="af", c="ac"), _H.format(h="bh", m="bm", f="bf", c="bc"),
     _H.format(h="bh", m="bm", f="bf", c="bc"), _H.format(h="ah", m="am", f="af", c="ac"),
@@ -107,36 +112,96 @@ _POINT = """select n as n_paired, round(%s,6) as champion_hss, round(%s,6) as ch
     bss("p_challenger", "event").replace("round(", "(").replace(", 6) as bss", ") as challenger_bss"))
 
 
-@register("gate_point", _POINT, GATE)
+def _mix(name: str, source: str, x: str, keep: str) -> dict[str, str]:
+    """Views that mix the number ``x`` of the rows of ``source`` to 32 bits ``h``, one step a view."""
+    half = f"(xor(x >> 16, x) * {W.MULTIPLIER}) % 4294967296"
+    return {f"{name}one_v": f"select {keep}, {x} as x from {source}", f"{name}two_v": f"select {keep}, {half} as x from {name}one_v",
+            f"{name}three_v": f"select {keep}, {half} as x from {name}two_v", f"{name}mix_v": f"select {keep}, xor(x >> 16, x) as h from {name}three_v"}
+
+
+def _drawn(name: str, cells: str, number: str, keep: str, n_boot: int) -> dict[str, str]:
+    """Views with a Poisson weight ``w`` for each cell (``n``, ``number``) of ``cells`` and replicate; ``keep`` names the cells' columns."""
+    return {
+        "pois_v": f"""select n, list(c order by k) as c from (select n, k, sum(p) over (partition by n order by k) as c from (
+ select n, k, exp(-n + k * ln(n) - lf) as p from (select unnest(range(1, {W.EXACT + 1})) as n) a, (select k, sum(case when k = 0 then 0.0::double
+ else ln(k) end) over (order by k) as lf from (select unnest(range(0, 141)) as k)) b)) where k <= cast(floor(n + 8 * sqrt(n) + 12) as bigint) group by n""",
+        f"{name}rep_v": f"select {keep}, rep, j, {number} as cell from {cells}, (select unnest(range(0, {n_boot})) as rep) r, (select unnest([0, 1]) as j) s",
+        **_mix(name, f"{name}rep_v", f"((cell * {W.CELL_STEP} + rep) * 2 + j) % 4294967296", f"{keep}, rep, j, cell"),
+        f"{name}uni_v": f"""select {keep}, rep, max(case when j = 0 then (h + 0.5::double) / 4294967296 end) as u,
+ max(case when j = 1 then (h + 0.5::double) / 4294967296 end) as v from {name}mix_v group by all""",
+        f"{name}z_v": f"select *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) as z from {name}uni_v",
+        f"{name}w_v": f"""select x.*, case when x.n <= 0 then 0.0::double when x.n <= {W.EXACT} then cast(len(list_filter(p.c, lambda e: e <= x.u)) as double)
+ else greatest(0.0::double, floor(x.n + sqrt(x.n) * z + (z * z - 1) / 6 + 0.5::double)) end as w from {name}z_v x left join pois_v p on p.n = x.n""",
+    }
+
+
+_SIDE = ", ".join(f"sum(case when {e} = {k} then w else 0 end) as {s}{k}" for s, e in (("a", "i // 4"), ("b", "i % 4")) for k in range(4))
+_SKILL_OF = "2.0::double*({0}0*{0}3-{0}1*{0}2)/nullif(({0}0+{0}1)*({0}1+{0}3)+({0}0+{0}2)*({0}2+{0}3), 0)"
+_NAMES = "(select unnest(['hit','miss','false_alarm','correct_neg']) as o, unnest([0,1,2,3]) as k)"
+HSS_DRAWN = {
+    **GATE,
+    "cells_v": f"""select a.k * 4 + b.k as i, count(p.taf_id) as n from {_NAMES} a, {_NAMES} b left join pair_v p on p.champion = a.o and p.challenger = b.o
+ group by 1""",
+    **_drawn("hss", "cells_v", "i", "i, n", B.HSS_REPLICATES),
+    "hssdiff_v": f"select {_SKILL_OF.format('b')} - {_SKILL_OF.format('a')} as d from (select rep, {_SIDE} from hssw_v group by rep)",
+    "hssends_v": """select list_extract(d, cast(floor(len(d) * 0.025::double) as bigint) + 1) as ci_low,
+ list_extract(d, cast(floor(len(d) * 0.975::double) as bigint) + 1) as ci_high from (select list(d order by d) as d from hssdiff_v where d is not null)""",
+}
+_ENDS = "round(ci_low,6) as ci_low, round(ci_high,6) as ci_high, coalesce(ci_low > 0, false) as {}"
+
+
+@register("gate_point", "select * from (" + _POINT + "), (select " + _ENDS.format("wins") + " from hssends_v)", HSS_DRAWN)
 def gate_point(v):
-    held = F.coalesce(F.col("ci_low") <= F.col("hss_diff"), F.lit(True)) & F.coalesce(F.col("hss_diff") <= F.col("ci_high"), F.lit(True))
     return gate_plan.decide(_pairs(v), "persistence").select(
-        "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff", held.alias("in_interval"))
+        "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff", "ci_low", "ci_high", F.col("promote").alias("wins"))
 
 
-def _held(low: str, value: str, high: str):
-    return (F.col(low) <= F.col(value)) & (F.col(value) <= F.col(high))
+@register("bootstrap_hss", "select n_paired as n, champion_hss, challenger_hss, hss_diff as diff, " + _ENDS.format("wins") + " from (" + _POINT + "), hssends_v", HSS_DRAWN)
+def bootstrap_hss(v):
+    return B.bootstrap_hss(_pairs(v)).select("n", "champion_hss", "challenger_hss", "diff", "ci_low", "ci_high", "wins")
 
 
-# The draws are random; what can be stated is stated: point values, that the interval holds them, and that the verdict follows.
-@register("bootstrap_hss", "select n_paired as n, champion_hss, challenger_hss, hss_diff as diff, in_interval, true as verdict_follows from (" + _POINT + ")", GATE)
-def bootstrap_hss(v):
-    return B.bootstrap_hss(_pairs(v)).select("n", "champion_hss", "challenger_hss", "diff", _held("ci_low", "diff", "ci_high").alias("in_interval"),
-                                             (F.col("wins") == (F.col("ci_low") > 0)).alias("verdict_follows"))
+BSS_DRAWN = {
+    "errs_v": "select (p - event) * (p - event) as err, cast(event as bigint) as event, count(*) as n from point_v group by 1, 2",
+    **_drawn("bss", "errs_v", "(cast(floor(err * 1e9::double) as bigint) * 2 + event) % 4294967296", "err, event, n", B.BSS_REPLICATES),
+    "bssboot_v": """select 1 - mean / (r - r * r) as b from (select rep, sum(w * err) / sum(w) as mean from bssw_v group by rep),
+ (select avg(event) as r from point_v)""",
+}
 
 
-@register("bootstrap_bss", "select %s, true as in_interval, true as verdict_follows from point_v" % bss("p", "event"))
+@register("bootstrap_bss", "select %s, round(low,6) as low, round(high,6) as high, any_value(low) > 0 as wins from point_v, (select quantile_cont(b, 0.025) as low, "
+          "quantile_cont(b, 0.975) as high from bssboot_v) group by low, high" % bss("p", "event"), BSS_DRAWN)
 def bootstrap_bss(v):
-    ends = B.bootstrap_bss(v.model_points).select(F.struct("*").alias("e"))
+    ends = B.bootstrap_bss(v.model_points, few_values=True).select(F.struct("*").alias("e"))
     point = v.model_points.agg(S.brier_skill(F.col("p"), F.col("event")).alias("bss")).withColumn("e", ends.scalar())
-    return point.select("bss", _held("e.low", "bss", "e.high").alias("in_interval"), (F.col("e.wins") == (F.col("e.low") > 0)).alias("verdict_follows"))
+    return point.select("bss", "e.low", "e.high", "e.wins")
 
 
-@register("gate_decision", "select 'promotion_gate' as kind, 'persistence' as challenger, 'official' as champion, *, true as promotes_if_above from (" + _POINT + ")", GATE)
+@register("gate_decision", "select 'promotion_gate' as kind, 'persistence' as challenger, 'official' as champion, g.*, " + _ENDS.format("promote") + " from (" + _POINT
+          + ") g, hssends_v", HSS_DRAWN)
 def gate_decision(v):
     return gate_plan.decide(_pairs(v), "persistence").select(
         "kind", "challenger", "champion", "n_paired", "champion_hss", "challenger_hss", "champion_bss", "challenger_bss", "hss_diff",
-        _held("ci_low", "hss_diff", "ci_high").alias("in_interval"), (F.col("promote") == (F.col("ci_low") > 0)).alias("promotes_if_above"))
+        "ci_low", "ci_high", "promote")
+
+
+@register("champion_line", "select 'gbm' as rung, 'models/c' as model_path, 'official' as beat, challenger_hss as test_hss, n_paired, 3 as records, 3 as logged from ("
+          + _POINT + ")", HSS_DRAWN)
+def champion_line(v):
+    """Two promotions at once against the official forecast, then one against their winner and a late one: who is champion."""
+    root = f"{checkpoint_folder(v.spark)}/registry-{uuid.uuid4().hex}"
+    made = gate_plan.decide(_pairs(v), "persistence").collect()
+    decision = v.spark.createDataFrame(made, "kind string, challenger string, champion string, n_paired long, champion_hss double, challenger_hss double, "
+                                       "champion_bss double, challenger_bss double, hss_diff double, ci_low double, ci_high double, promote boolean")
+    promote = lambda rung, name, base: (tables.log_experiment(decision, f"{root}/log", "promotion_gate"),
+                                        tables.save_champion(decision, f"{root}/champion", rung, f"models/{name}", base))[1]
+    first = promote("linreg", "a", None)
+    promote("rf", "b", None)
+    promote("gbm", "c", first)
+    count = lambda df: df.agg(F.count(F.lit(1)).cast("int")).scalar()
+    records = v.spark.read.schema(tables.CHAMPION_SCHEMA).json(f"{root}/champion")
+    return tables.load_champion(v.spark, f"{root}/champion").select(
+        "rung", "model_path", "beat", "test_hss", "n_paired", count(records).alias("records"), count(tables.read_log(v.spark, f"{root}/log")).alias("logged"))
 
 
 OWN = {"gobs_v": "select * from obs_v where observed_at >= '2024-01-10' and observed_at < '2024-01-20'",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fcverify.catalog import register
 from fcverify.catalog.verify import RATIOS, SKILL
+from fcverify.fixtures import own_window_score
 from fcverify.functions import scoring as S
 from fcverify.operators import rollups as R
 from fcverify.schema import CATEGORIES
@@ -72,8 +73,8 @@ def comparison_ranked(v):
     return R.ranked_comparison(v.verification, "icao").select("icao", "profile", "rank")
 
 
-_EVAL = f"""select lead_bucket, n, hits, misses, false_alarms, correct_neg, {RATIOS}, mean_weighted, vis_mae, ceiling_mae, wind_mae,
- (select count(*) from taf_v) as n_tafs from (select cast(floor(lead_time_h/6)*6 as integer) as lead_bucket, {SKILL},
+_EVAL = f"""select lead_bucket, level, n, hits, misses, false_alarms, correct_neg, {RATIOS}, mean_weighted, vis_mae, ceiling_mae, wind_mae,
+ (select count(*) from taf_v) as n_tafs from (select cast(floor(lead_time_h/6)*6 as integer) as lead_bucket, cast(grouping(cast(floor(lead_time_h/6)*6 as integer)) as integer) as level, {SKILL},
  round(avg(weighted_score),6) as mean_weighted, round(avg(abs(vis_err_m)),6) as vis_mae, round(avg(abs(ceiling_err_ft)),6) as ceiling_mae,
  round(avg(abs(wind_err_kt)),6) as wind_mae from scored_v group by grouping sets ((1),()))"""
 
@@ -84,6 +85,15 @@ def evaluation(v):
     return R.evaluation(v.scored, issued)
 
 
+_OWN = {"wobs_v": "select * from obs_v", **own_window_score("own", "wobs_v", "date_trunc('hour', h.valid_from)", "ownhours_v"),
+        "ownhours_v": "select * from expected_v where issued_at >= '2024-01-08' and issued_at < '2024-01-22'"}
+
+
+@register("evaluate_window", _EVAL.replace("scored_v", "own_v").replace("(select count(*) from taf_v)", "(select count(distinct taf_id) from own_v)"), _OWN)
+def evaluate_window(v):
+    return R.evaluate_forecaster(v.taf, v.obs, v.groups, start="2024-01-08", end="2024-01-22")
+
+
 @register("official_bss_window", f"select count(*) as n, {brier()}, {bss()} from scored_v where valid_hour >= timestamp '2024-01-26'")
 def official_bss_window(v):
     return R.official_skill(v.verification, "2024-01-26")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fcverify.catalog import register, rounded
@@ -20,6 +21,21 @@ def stations_latest(v):
     return serving.stations_latest(v.stations, v.obs)
 
 
+@register("served_order", """select 'stations' as view, icao, cast(null as timestamp) as at, row_number() over (order by region, icao) as place from station_v
+ union all select 'observations', icao, observed_at, row_number() over (order by observed_at) from obs_v where icao = 'ST07' and observed_at >= '2024-01-10'
+ and observed_at < '2024-01-17' qualify row_number() over (partition by observed_at order by obs_id) = 1""")
+def served_order(v):
+    """The order in which two views give their rows, as places. Times of one station that repeat count once."""
+    def placed(rows, name, time):
+        # the order of a sorted result is that of its partitions and of the rows in them
+        rows = rows.select("icao", time.alias("at"), F.monotonically_increasing_id().alias("_o")).groupBy("icao", "at").agg(F.min("_o").alias("_o"))
+        return rows.select(F.lit(name).alias("view"), "icao", "at", F.row_number().over(Window.partitionBy(F.lit(name)).orderBy("_o")).alias("place"))
+
+    series = serving.observation_series(v.obs, "st07", *WINDOW)
+    return placed(serving.stations_latest(v.stations, v.obs), "stations", F.lit(None).cast("timestamp")).unionByName(
+        placed(series, "observations", F.col("observed_at")))
+
+
 @register("one_station", "select icao, name, round(lat,6) as lat, round(lon,6) as lon, elevation_m, region from station_v where icao = 'ST07'")
 def one_station(v):
     return serving.station(v.stations, "st07")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fcverify.catalog import register, rounded
+from fcverify.fixtures import _category, own_window_score
 from fcverify.functions import scoring as S
 from fcverify.functions.conditions import band, category_rank, is_adverse, worse_category
 from fcverify.functions.timetokens import hour_floor, lead_bucket, lead_hours
@@ -231,6 +232,23 @@ def candidates_run(v):
         F.count(F.lit(1)).alias("n"), F.countDistinct("taf_id").alias("n_tafs"))
 
 
+_STATE = "cast({0}.vis_m as double) as p_vis, cast({0}.ceiling_ft as double) as p_ceil, coalesce({0}.flight_category, {1}) as p_cat"
+_NONE = """cast(null as varchar) as t_cat, cast(null as varchar) as q_cat, cast(null as integer) as q_prob, cast(null as double) as p_given"""
+CANDIDATE_HOURS = {
+    "lastobs_v": "select t.taf_id, o.* exclude (icao) from taf_v t asof left join obs_v o on o.icao = t.icao and o.observed_at <= t.issued_at",
+    "candhours_v": f"""select h.taf_id, h.icao, issued_at, valid_from, valid_to, valid_hour, cast(o.wind_dir_deg as double) as p_dir, o.wind_spd_kt as p_spd,
+ {_STATE.format('o', _category('o.ceiling_ft', 'o.vis_m'))}, {_NONE}, 'persistence' as scoring_profile from hours_v h left join lastobs_v o on o.taf_id = h.taf_id
+ union all select h.taf_id, h.icao, issued_at, valid_from, valid_to, valid_hour, null, null,
+ {_STATE.format('c', _category('c.ceiling_ft', 'c.vis_m'))}, {_NONE}, 'climatology' from hours_v h left join clim_v c on c.icao = h.icao and c.hod = hour(h.valid_hour)""",
+    **own_window_score("cand", "obs_v", "date_trunc('hour', h.valid_from)", "candhours_v"),
+}
+
+
+@register("candidate_rows", VERIF_SQL.format("cand_v"), CANDIDATE_HOURS)
+def candidate_rows(v):
+    return V.run_candidates(v.taf, v.obs, v.groups)
+
+
 @register("official_requests", """select t.taf_id, e.valid_hour, e.p_cat, e.t_cat from taf_v t
  join expected_v e on e.taf_id = t.taf_id and e.valid_hour < t.valid_from + interval 6 hour where t.taf_id % 2 = 0""")
 def official_requests(v):

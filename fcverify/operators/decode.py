@@ -8,6 +8,8 @@ and is set apart.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,17 +101,17 @@ def with_conditions(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def decode_observations(raw: DataFrame, reference: str = "observed_at") -> DataFrame:
-    """Raw observations (id, observed_at, raw_text) to decoded rows.
+def decode_observations(raw: DataFrame, reference: str = "observed_at", keep: Sequence[str] = ()) -> DataFrame:
+    """Raw observations (id, observed_at, raw_text) to decoded rows, with the columns ``keep`` as they are.
 
     The time tokens are placed next to the reference time; without them the
     reference itself counts. Trend and remark parts are left out of the state.
     """
-    text = raw.select("id", F.col(reference).alias("_ref"), clean(F.col("raw_text")).alias("_text"))
+    text = raw.select("id", *keep, F.col(reference).alias("_ref"), clean(F.col("raw_text")).alias("_text"))
     head = F.ltrim(F.col("_text"))
     day, hour, minute = (_part(F.col("_text"), ISSUE_TIME, i).try_cast("int") for i in (1, 2, 3))
     cut = text.select(
-        "id", "_ref", F.regexp_extract(head, REPORT_HEAD, 1).alias("icao"),
+        "id", *keep, "_ref", F.regexp_extract(head, REPORT_HEAD, 1).alias("icao"),
         day.alias("_d"), hour.alias("_h"), minute.alias("_m"),
         F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(head, REPORT_HEAD, ""), OBSERVATION_TREND, " "))
         .alias("_body"))
@@ -122,7 +124,7 @@ def decode_observations(raw: DataFrame, reference: str = "observed_at") -> DataF
                               _part(F.col("_body"), PRESSURE_INHG, 1).try_cast("double") / 100 * HPA_PER_INHG),
     })
     return rows.select(
-        F.col("id").alias("obs_id"), F.col("id").alias("raw_metar_id"), "icao", "observed_at", "wind_dir_deg",
+        *keep, F.col("id").alias("obs_id"), F.col("id").alias("raw_metar_id"), "icao", "observed_at", "wind_dir_deg",
         "wind_spd_kt", "wind_gust_kt", "vis_m", "temp_c", "dewpoint_c", "qnh_hpa", "ceiling_ft",
         "flight_category", "clouds", "weather")
 

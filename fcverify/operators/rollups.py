@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from fcverify.functions import scoring as S
 from fcverify.functions.conditions import is_adverse
 from fcverify.functions.timetokens import lead_bucket
+from fcverify.operators.features import time_window
+from fcverify.operators.forecasters import Forecaster, official
+from fcverify.operators.verification import score_own_window
 from fcverify.schema import LEADS_H, OFFICIAL_PROFILE
 
 
@@ -69,14 +72,15 @@ def ranked_comparison(scored: DataFrame, *by: str) -> DataFrame:
 
 
 def evaluation(scored: DataFrame, forecasts_scored: int | Column | None = None) -> DataFrame:
-    """Pooled metrics (lead_bucket NULL) and the same per lead bucket.
+    """Pooled metrics (``level`` 1) and the same per lead bucket (``level`` 0; an unknown lead is a bucket of its own).
 
     ROLLUP gives both from one shuffle.
     """
     mean_abs = lambda c: F.avg(F.abs(c))
     keyed = scored.withColumn("lead_bucket", lead_bucket(F.col("lead_time_h")))
     table = (keyed.rollup("lead_bucket")
-             .agg(F.avg("weighted_score").alias("mean_weighted"),
+             .agg(F.grouping("lead_bucket").cast("int").alias("level"),
+                  F.avg("weighted_score").alias("mean_weighted"),
                   mean_abs("vis_err_m").alias("vis_mae"),
                   mean_abs("ceiling_err_ft").alias("ceiling_mae"),
                   mean_abs("wind_err_kt").alias("wind_mae"),
@@ -88,6 +92,14 @@ def evaluation(scored: DataFrame, forecasts_scored: int | Column | None = None)
     return table
 
 
+def evaluate_forecaster(forecasts: DataFrame, obs: DataFrame, groups: DataFrame, forecaster: Forecaster = official,
+                        start=None, end=None) -> DataFrame:
+    """``evaluation`` of one forecaster over the forecasts issued in a window, each against the observations of its own
+    validity. ``n_tafs`` counts the forecasts that gave at least one scored hour."""
+    scored = score_own_window(time_window(forecasts, "issued_at", start, end), obs, groups, forecaster)
+    return evaluation(scored, scored.agg(F.countDistinct("taf_id")).scalar())
+
+
 def official_skill(scored: DataFrame, since: str, profile: str = OFFICIAL_PROFILE) -> DataFrame:
     """Pooled BSS of one profile on and after a date."""
     window = ((F.col("scoring_profile") == profile)

@@ -75,13 +75,17 @@ def score_profile(forecasts: DataFrame, obs: DataFrame, groups: DataFrame, profi
 def observed_near(obs: DataFrame, forecasts: DataFrame) -> DataFrame | None:
     """Observations that can be nearest to an hour of the forecasts; None without forecasts.
 
-    Two times leave the forecasts, so stored observations are pruned before they are read.
+    Two times leave the forecasts, so stored observations are pruned before they are read, by day where they
+    are kept by the ``day`` of their time.
     """
     span = forecasts.agg(F.min("valid_from").alias("a"), F.max("valid_to").alias("b")).first()
     if span["a"] is None or span["b"] is None:
         return None
     reach = F.make_dt_interval(F.lit(0), F.lit(1), F.lit(0), F.lit(float(ALIGN_TOLERANCE_S)))
-    return obs.filter(F.col("observed_at").between(F.lit(span["a"]) - reach, F.lit(span["b"]) + reach))
+    first, last = F.lit(span["a"]) - reach, F.lit(span["b"]) + reach
+    if "day" in obs.columns:
+        obs = obs.filter(F.col("day").between(F.to_date(first), F.to_date(last)))
+    return obs.filter(F.col("observed_at").between(first, last))
 
 
 def score_profiles(forecasts: DataFrame, obs: DataFrame, groups: DataFrame,
@@ -112,12 +116,15 @@ def score_own_window(forecasts: DataFrame, obs: DataFrame, groups: DataFrame,
 def run_candidates(forecasts: DataFrame, obs: DataFrame, groups: DataFrame,
                    scored: DataFrame | None = None,
                    candidates: Mapping[str, Forecaster] = CANDIDATES) -> DataFrame:
-    """Every candidate forecaster against every forecast it has not been scored on."""
-    parts = []
-    for name, forecaster in candidates.items():
-        todo = pending(forecasts, scored, name)
-        parts.append(score_own_window(todo, obs, groups, forecaster, name))
-    return reduce(DataFrame.unionByName, parts)
+    """Every candidate forecaster against every forecast it has not been scored on.
+
+    The hours of all candidates meet the observations of their own windows together.
+    """
+    parts = [forecaster(verifiable(pending(forecasts, scored, name)), obs, groups)
+             .select("taf_id", "icao", "issued_at", "valid_from", "valid_to", "valid_hour", "prevailing", "tempo", "prob", F.lit(name).alias("_profile"))
+             for name, forecaster in candidates.items()]
+    hours = reduce(DataFrame.unionByName, parts)
+    return score_hours(align_hours_within(hours, obs, OBSERVED), F.col("_profile"))
 
 
 def rows_per_profile(scored: DataFrame) -> DataFrame:

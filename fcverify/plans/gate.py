@@ -65,26 +65,26 @@ def decide(paired: DataFrame, challenger: str, champion: str = "official", n_boo
         F.col("diff").alias("hss_diff"), "ci_low", "ci_high", F.col("wins").alias("promote"))
 
 
-def champion_forecaster(spark, registry: str, nwp: DataFrame, stations: DataFrame) -> tuple[str, Forecaster]:
-    """The registered champion, or the official forecast while there is none."""
+def champion_forecaster(spark, registry: str, nwp: DataFrame, stations: DataFrame) -> tuple[str, Forecaster, str | None]:
+    """The registered champion with its ticket, or the official forecast while there is none."""
     record = T.load_champion(spark, registry)
     row = None if record is None else record.first()
     if row is None:
-        return "official", official
-    return f"champion:{row.rung}", model_forecaster(LadderModel.load(spark, row.model_path), nwp, stations)
+        return "official", official, None
+    return f"champion:{row.rung}", model_forecaster(LadderModel.load(spark, row.model_path), nwp, stations), row.ticket
 
 
 def promote_if_better(model: LadderModel, model_path: str, forecasts: DataFrame, obs: DataFrame, groups: DataFrame,
                       nwp: DataFrame, stations: DataFrame, registry: str, log: str, start=GATE_START, end=GATE_END,
                       register: bool = True, n_boot: int = HSS_REPLICATES) -> DataFrame:
-    """Gate a model, log the decision, and register the model if it wins."""
+    """Gate a model, log the decision, and register the model if it wins over the champion it met."""
     spark = forecasts.sparkSession
-    name, incumbent = champion_forecaster(spark, registry, nwp, stations)
+    name, incumbent, ticket = champion_forecaster(spark, registry, nwp, stations)
     score = lambda f: score_in_window(forecasts, obs, groups, f, start, end)
     decision = decide(pair(score(incumbent), score(model_forecaster(model, nwp, stations))), f"model:{model.rung}", name, n_boot)
     row = spark.createDataFrame(decision.collect(), decision.schema)  # one row
     T.log_experiment(row, log, "promotion_gate")
     if register and row.first()["promote"]:
         model.save(model_path)
-        T.save_champion(row, registry, model.rung, model_path)
+        T.save_champion(row, registry, model.rung, model_path, ticket)
     return row

@@ -117,4 +117,13 @@ TABLE_KEYS = {
     "nwp_point": ("icao", "valid_time", "source"),
     "verification_hourly": ("taf_id", "valid_hour", "scoring_profile"),
     "expected_hour": ("taf_id", "valid_hour"),
+    "taf_group": ("taf_id", "group_seq"),
+    "closed_hour": ("icao", "valid_hour"),
+}
+
+# The time whose day a table is kept by. It follows from the table's key.
+TABLE_TIMES = {
+    "raw_metar": "observed_at", "raw_taf": "issued_at", "metar_obs": "observed_at", "taf_forecast": "issued_at",
+    "nwp_point": "valid_time", "verification_hourly": "valid_hour", "expected_hour": "valid_hour",
+    "taf_group": "valid_from", "closed_hour": "valid_hour",
 }

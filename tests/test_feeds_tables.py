@@ -89,7 +89,21 @@ def test_log_and_champion(spark, tmp_path):
                                   "champion string, challenger string, p_champion double, p_challenger double, event int")
     decision = gate.decide(pairs, "model:linreg", n_boot=20)
     T.log_experiment(decision, log, "promotion_gate")
-    T.save_champion(decision, registry, "linreg", "/models/1")
-    T.save_champion(decision, registry, "gbm", "/models/2")
+    first = T.save_champion(decision, registry, "linreg", "/models/1")
+    assert T.load_champion(spark, registry).first().ticket == first
+    T.save_champion(decision, registry, "rf", "/models/0")  # gated against the official forecast too, but late
+    assert T.load_champion(spark, registry).first().ticket == first
+    T.save_champion(decision, registry, "gbm", "/models/2", first)
     assert T.load_champion(spark, registry).first().model_path == "/models/2"
     assert T.read_log(spark, log).filter(F.col("record").contains("n_paired")).count() == 1
+
+
+def test_promotions_at_once_leave_one_champion():
+    record = lambda ticket, base, at: {"ticket": ticket, "base": base, "promoted_at": at}
+    a, b = record("a", None, 2), record("b", None, 1)
+    assert T.champion_tickets([]) == [] and T.champion_tickets([a, b]) == T.champion_tickets([b, a]) == ["b"]
+    # what others were built on stays, though an earlier record turns up
+    assert T.champion_tickets([a, record("c", "a", 3), b]) == ["a", "c"]
+    assert T.champion_tickets([a, record("c", "a", 3), record("d", "a", 3), record("e", "zzz", 0)]) == ["a", "c"]
+    chain = [record(str(i), str(i - 1) if i else None, i) for i in range(5000)]
+    assert T.champion_tickets(chain)[-1] == "4999"
