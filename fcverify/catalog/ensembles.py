@@ -10,14 +10,16 @@ from fcverify.catalog.scores import bss
 from fcverify.fixtures import FIXTURE_VAL_END
 from fcverify.functions import scoring as S
 from fcverify.plans import ensemble as E
+from fcverify.session import kept
 
 BASES = ("p", "p2", "p_official")
 
 
 def _parts(v):
-    """Validation and test points by valid hour."""
+    """Validation and test points by valid hour. Fits and reports pass over them many times, so they are scored once and kept."""
     late = F.col("valid_hour") >= F.lit(FIXTURE_VAL_END).cast("timestamp")
-    return v.model_points.filter(~late), v.model_points.filter(late)
+    points = kept(v.model_points.select(late.alias("late"), "lead_h", "event", *BASES))
+    return points.filter(~F.col("late")), points.filter("late")
 
 
 @register("aligned_probabilities", """select taf_id, valid_hour, round(p,6) as a, round(case when taf_id%3=0 then p else p2 end,6) as b,

@@ -16,7 +16,7 @@ from fcverify.functions import scoring as S
 from fcverify.operators.thresholds import best_blend, best_threshold
 from fcverify.plans.ladder import calibrated, detached, fit_calibrator
 from fcverify.schema import LEADS_H
-from fcverify.session import checkpoint
+from fcverify.session import kept
 
 MIN_LEAD_ROWS = 50
 
@@ -94,7 +94,8 @@ class LeadStack(Stack):
 
     def fit(self, validation: DataFrame, event: str = "event", lead: str = "lead_h") -> LeadStack:
         self.lead = lead
-        rows = checkpoint(validation.select(lead, event, *self.bases).filter(F.col(lead).isin(*LEADS_H)))
+        validation = kept(validation.select(lead, event, *self.bases))
+        rows = validation.filter(F.col(lead).isin(*LEADS_H))
         counts = rows.groupBy(lead).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(event).alias("k")).collect()
         own = {r[lead] for r in counts if r["n"] > self.min_rows and r["k"] > 1}
         self.pooled = sorted(set(LEADS_H) - own)
@@ -144,7 +145,7 @@ def subsets(bases: Sequence[str]) -> list[tuple[str, ...]]:
 
 def ablation(validation: DataFrame, test: DataFrame, bases: Sequence[str], event: str = "event") -> DataFrame:
     """Stack of every subset, ranked by BSS on the test rows."""
-    validation, test = checkpoint(validation), checkpoint(test)
+    validation, test = (kept(rows.select(event, *bases)) for rows in (validation, test))
     rows = None
     for subset in subsets(bases):
         row = stack_report(Stack(subset).fit(validation, event), test, event)
