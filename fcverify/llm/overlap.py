@@ -34,8 +34,8 @@ NEAR = (4, 5)
 COMMON = 3
 # Texts from which the order is learned, those of them that make a shingle common, and how many common ones are told apart.
 SAMPLE, OFTEN, LISTED = 5_000, 3, 1 << 16
-# Bits of the filter that says which texts are in a candidate; 16 MB, whatever the input.
-FILTER_BITS = 1 << 27
+# Bits of the filter that says which texts are in a candidate: so many a text, 16 MB at most, whatever the input.
+BITS_A_TEXT, FILTER_BITS = 64, 1 << 27
 _SLICE = 1 << 15
 # Different texts that a task remembers.
 HELD = 30_000
@@ -166,9 +166,14 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _marked(codes: DataFrame) -> bytes:
-    """One bit for each ``fp``. The size is fixed; more set bits only let more texts through."""
-    bits = codes.select(F.pmod("fp", F.lit(FILTER_BITS)).alias("bit")).distinct().withColumn("slice", F.shiftright("bit", 15))
+def filter_bits(n: int) -> int:
+    """The size of the filter for ``n`` texts, a power of two. More set bits only let more texts through."""
+    return 1 << min(FILTER_BITS.bit_length() - 1, max(_SLICE.bit_length() - 1, (BITS_A_TEXT * n).bit_length()))
+
+
+def _marked(codes: DataFrame, size: int) -> bytes:
+    """One bit of ``size`` for each ``fp``."""
+    bits = codes.select(F.pmod("fp", F.lit(size)).alias("bit")).distinct().withColumn("slice", F.shiftright("bit", 15))
 
     def fold(table: pa.Table) -> pa.Table:
         own = np.zeros(_SLICE, dtype=bool)
@@ -177,7 +182,7 @@ def _marked(codes: DataFrame) -> bytes:
                          "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
 
     slices = bits.groupBy("slice").applyInArrow(fold, "slice long, bits binary").toArrow()
-    whole = bytearray(FILTER_BITS // 8)
+    whole = bytearray(size // 8)
     for at, own in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
         whole[at * _SLICE // 8:(at + 1) * _SLICE // 8] = own
     return bytes(whole)
@@ -186,7 +191,8 @@ def _marked(codes: DataFrame) -> bytes:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The near ones of ``pairs`` (u, v: fp), by their whole sets, which are made again of the texts that occur in a pair."""
     codes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    chosen = docs.sparkSession.sparkContext.broadcast(_marked(codes))
+    size = filter_bits(2 * pairs.count())
+    chosen = docs.sparkSession.sparkContext.broadcast(_marked(codes, size))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(chosen.value, dtype=np.uint8), set()
@@ -197,7 +203,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text)
                 fp = _signed(digest(shingles))
-                bit = fp % FILTER_BITS
+                bit = fp % size
                 if fp not in seen and bits[bit >> 3] >> (7 - (bit & 7)) & 1:
                     seen.add(fp)
                     found[fp] = shingles.view(np.int64)
