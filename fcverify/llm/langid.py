@@ -8,6 +8,7 @@ fifth of the sample fits the temperature and the rejection threshold.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fcverify.llm.store import ragged, ready, texts
+from fcverify.llm.store import ready, texts
 from fcverify.llm.words import gram_counts, utf8
 
 BUCKETS = 1 << 14
@@ -60,17 +61,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def packed(text: str | None) -> bytes:
+    """The buckets of a text's grams and their counts, a fifth as long as plain numbers."""
+    counts = gram_counts(utf8(text), BUCKETS, SIZES)
+    used = np.flatnonzero(counts)
+    return zlib.compress(np.diff(used, prepend=0).astype("<i2").tobytes() + counts[used].astype("<f4").tobytes())
+
+
+def unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(bag)
+    n = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, "<i2", n), dtype=np.int32), np.frombuffer(raw, "<f4", n, 2 * n)
+
+
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at, n = [], []
-        for text in batch.column("text").to_pylist():
-            counts = gram_counts(utf8(text), BUCKETS, SIZES)
-            used = np.flatnonzero(counts)
-            at.append(used.astype(np.int32))
-            n.append(counts[used].astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("h"), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))],
-            names=["lang", "h", "at", "n"])
+        bags = pa.array([packed(x) for x in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), bags], names=["lang", "h", "bag"])
 
 
 def fit(docs: DataFrame, per_language: int = 500, in_all: int = 100_000, epochs: int = 8, rate: float = 0.4,
@@ -95,10 +102,11 @@ def fit(docs: DataFrame, per_language: int = 500, in_all: int = 100_000, epochs:
     below = F.create_map(*[F.lit(x) for r in counts
                            for x in (r["lang"], min(1 << 30, int(per_language * (1 << 30) / r["count"]) + 1))])
     drawn = (rows.withColumn("h", h).filter(F.col("h") < below[F.col("lang")]).select("lang", "h", "text")
-             .mapInArrow(_bags, "lang string, h long, at array<int>, n array<float>")
+             .mapInArrow(_bags, "lang string, h long, bag binary")
              .orderBy("h", "lang").limit(2 * per_language * len(names)).toArrow())
-    where = ragged(drawn.column("at"))
-    share = [x / x.sum() if x.size else x for x in ragged(drawn.column("n"))]
+    bags = [unpacked(x) for x in drawn.column("bag").to_pylist()]
+    where = [at for at, _ in bags]
+    share = [x / x.sum() if x.size else x for _, x in bags]
     label = np.array([names.index(x) for x in drawn.column("lang").to_pylist()], dtype=int)
     if not len(label):
         return LanguageModel(names[:1], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)

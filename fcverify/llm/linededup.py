@@ -25,13 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fcverify.llm.store import ready, stored, texts
+from fcverify.llm.store import bit_slices, ready, stored, texts, whole_filter
 from fcverify.llm.words import utf8
 
 MIN_WORDS = 5
 # Bits of the filter that says which lines can have a neighbour at all; 16 MB, whatever the input.
 FILTER_BITS = 1 << 27
-_SLICE = 1 << 15
 # Different lines that a task holds.
 HELD = 30_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -138,7 +137,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     return _identified(docs).mapInArrow(work, _LINE)
 
 
-def _filter(lines: DataFrame) -> bytes:
+def _filter(lines: DataFrame) -> dict[int, bytes]:
     """Two bits for each half that makes a line worth its keys: another line of the same length has it, or one of the other length.
 
     The size is fixed; more set bits only let more lines through.
@@ -150,19 +149,7 @@ def _filter(lines: DataFrame) -> bytes:
            .select(F.pmod("p", F.lit(FILTER_BITS // 2)).alias("bit"), (F.col("a") < F.col("b")).alias("same"),
                    F.expr("a is not null and shorter = 1").alias("other")))
     bits = met.select(F.explode(F.array(F.when(F.col("same"), 2 * F.col("bit")), F.when(F.col("other"), 2 * F.col("bit") + 1))).alias("bit"))
-    bits = bits.filter("bit is not null").distinct().withColumn("slice", F.shiftright("bit", 15))
-
-    def fold(table: pa.Table) -> pa.Table:
-        own = np.zeros(_SLICE, dtype=bool)
-        own[table.column("bit").to_numpy() % _SLICE] = True
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()),
-                         "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    slices = bits.groupBy("slice").applyInArrow(fold, "slice long, bits binary").toArrow()
-    whole = bytearray(FILTER_BITS // 8)
-    for at, own in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
-        whole[at * _SLICE // 8:(at + 1) * _SLICE // 8] = own
-    return bytes(whole)
+    return bit_slices(bits.filter("bit is not null").distinct())
 
 
 _KEY = "doc_id long, th long, line int, kind int, k1 long, k2 long, words string"
@@ -206,7 +193,7 @@ def _variant_table(docs: DataFrame, chosen) -> DataFrame:
                                           names=["doc_id", "th", "line", "kind", "k1", "k2", "words"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = chosen.value, {}
+        bits, held = whole_filter(chosen.value, FILTER_BITS), {}
         for batch in batches:
             for doc, text, th in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "th"))):
                 for number, words in _lines(text):

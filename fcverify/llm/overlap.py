@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from fcverify.llm.golay import SEED
 from fcverify.llm.graph import components
-from fcverify.llm.store import ragged, ready, stored, texts
+from fcverify.llm.store import SLICE as _SLICE
+from fcverify.llm.store import bit_slices, ragged, ready, stored, texts, whole_filter
 from fcverify.llm.words import utf8, word_blocks
 
 SHINGLE = 5
@@ -36,7 +37,6 @@ COMMON = 3
 SAMPLE, OFTEN, LISTED = 5_000, 3, 1 << 16
 # Bits of the filter that says which texts are in a candidate: so many a text, 16 MB at most, whatever the input.
 BITS_A_TEXT, FILTER_BITS = 64, 1 << 27
-_SLICE = 1 << 15
 # Different texts that a task remembers.
 HELD = 30_000
 
@@ -171,21 +171,9 @@ def filter_bits(n: int) -> int:
     return 1 << min(FILTER_BITS.bit_length() - 1, max(_SLICE.bit_length() - 1, (BITS_A_TEXT * n).bit_length()))
 
 
-def _marked(codes: DataFrame, size: int) -> bytes:
+def _marked(codes: DataFrame, size: int) -> dict[int, bytes]:
     """One bit of ``size`` for each ``fp``."""
-    bits = codes.select(F.pmod("fp", F.lit(size)).alias("bit")).distinct().withColumn("slice", F.shiftright("bit", 15))
-
-    def fold(table: pa.Table) -> pa.Table:
-        own = np.zeros(_SLICE, dtype=bool)
-        own[table.column("bit").to_numpy() % _SLICE] = True
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()),
-                         "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
-
-    slices = bits.groupBy("slice").applyInArrow(fold, "slice long, bits binary").toArrow()
-    whole = bytearray(size // 8)
-    for at, own in zip(slices.column("slice").to_pylist(), slices.column("bits").to_pylist()):
-        whole[at * _SLICE // 8:(at + 1) * _SLICE // 8] = own
-    return bytes(whole)
+    return bit_slices(codes.select(F.pmod("fp", F.lit(size)).alias("bit")).distinct())
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -195,7 +183,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     chosen = docs.sparkSession.sparkContext.broadcast(_marked(codes, size))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.frombuffer(chosen.value, dtype=np.uint8), set()
+        bits, seen = np.frombuffer(whole_filter(chosen.value, size), dtype=np.uint8), set()
         for batch in batches:
             if len(seen) > HELD:
                 seen = set()
