@@ -26,7 +26,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: first by SimHash, as op4 links them, then of what is left by
     five-word shingles, with a Jaccard similarity of 0.8 or more."""
-    rest = stored(golay.keep_first(docs), "simhash")
+    rest = stored(golay.keep_first(docs), "simhash", "zstd")
     return golay.keep_first(rest, overlap.near_duplicates, overlap.code)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fcverify.llm.store import stored
+from fcverify.llm.store import freed, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        before, now = now, stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+        freed(before)
         if (new := _mark(now)) == mark:
             break
         mark = new

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fcverify.llm.store import bit_slices, ready, stored, texts, whole_filter
+from fcverify.llm.store import bit_slices, freed, ready, stored, texts, whole_filter
 from fcverify.llm.words import utf8
 
 MIN_WORDS = 5
@@ -224,7 +224,7 @@ def _place(*names: str) -> Column:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound."""
+    """``doc_id``, ``th``, ``line`` of the lines that have an earlier, different one within the bound; stored."""
     chosen = docs.sparkSession.sparkContext.broadcast(_filter(lines))
     keys = stored(_variant_table(docs, chosen).select(_place("doc_id", "th", "line").alias("o"), "kind", "k1", "k2", "words"), "variants")
     chosen.destroy()
@@ -252,19 +252,25 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     right = own.select(F.col("o").alias("ro"), F.col("words").alias("b"))
     pairs = (found.join(left, same(F.col("o"), F.col("lo"))).join(right, same(F.col("e"), F.col("ro")))
              .select("o.doc_id", "o.th", "o.line", "a", "b"))
-    return pairs.mapInArrow(verify, "doc_id long, th long, line int").distinct()
+    near = stored(pairs.mapInArrow(verify, "doc_id long, th long, line int").distinct(), "near")
+    freed(keys)
+    return near
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``th`` and the places of the lines that go: ``equal`` to an earlier one, and ``near`` one only."""
-    lines = stored(line_table(docs), "lines").select("h1", "h2", _place("doc_id", "th", "line").alias("o"), "p")
+    """``doc_id``, ``th`` and the places of the lines that go: ``equal`` to an earlier one, and ``near`` one only; stored."""
+    table = stored(line_table(docs), "lines")
+    lines = table.select("h1", "h2", _place("doc_id", "th", "line").alias("o"), "p")
     first = lines.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     equal = (lines.select("h1", "h2", "o").join(first, ["h1", "h2"]).filter("first < o")
              .select("o.doc_id", "o.th", "o.line", F.lit(True).alias("equal")))
-    near = near_lines(docs, lines).withColumn("equal", F.lit(False))
+    near_table = near_lines(docs, lines)
+    near = near_table.withColumn("equal", F.lit(False))
     each = equal.unionByName(near).groupBy("doc_id", "th", "line").agg(F.max("equal").alias("equal"))
-    return each.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("equal"), F.col("line"))).alias("equal"),
-                                            F.collect_list(F.when(~F.col("equal"), F.col("line"))).alias("near"))
+    gone = stored(each.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("equal"), F.col("line"))).alias("equal"),
+                                                   F.collect_list(F.when(~F.col("equal"), F.col("line"))).alias("near")), "gone")
+    freed(table, near_table)
+    return gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -284,7 +290,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     flat = flat.select(*columns, *row)
     gone = gone.select("equal", "near", *row)
     keys = ["k_id", "k_none", "k_th"]
-    joined = (flat.join(gone, keys, "left")
+    # lists of places look small beside the memory they take, so they are never broadcast
+    joined = (flat.join(gone.hint("merge"), keys, "left")
               .withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))).drop(*keys))
     at = docs.columns.index("text")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fcverify.llm.golay import SEED
 from fcverify.llm.graph import components
 from fcverify.llm.store import SLICE as _SLICE
-from fcverify.llm.store import bit_slices, ragged, ready, stored, texts, whole_filter
+from fcverify.llm.store import bit_slices, freed, ragged, ready, stored, texts, whole_filter
 from fcverify.llm.words import utf8, word_blocks
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ def _marked(codes: DataFrame, size: int) -> dict[int, bytes]:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The near ones of ``pairs`` (u, v: fp), by their whole sets, which are made again of the texts that occur in a pair."""
+    """The near ones of ``pairs`` (u, v: fp), stored, by their whole sets, which are made again of the texts that occur in a pair."""
     codes = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     size = filter_bits(2 * pairs.count())
     chosen = docs.sparkSession.sparkContext.broadcast(_marked(codes, size))
@@ -198,7 +198,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))],
                                              names=["fp", "shingles"])
 
-    sets = stored(texts(docs).mapInArrow(work, "fp long, shingles array<long>"), "sets").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    made = stored(texts(docs).mapInArrow(work, "fp long, shingles array<long>"), "sets")
+    sets = made.groupBy("fp").agg(F.first("shingles").alias("shingles"))
     chosen.destroy()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +208,9 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([near(x, y) for x, y in zip(a, b)], pa.bool_())).select(["u", "v"])
 
     left, right = sets.toDF("u", "a"), sets.toDF("v", "b")
-    return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    links = stored(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "links")
+    freed(made)
+    return links
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -220,7 +223,8 @@ def near_links(docs: DataFrame) -> DataFrame:
     """``u``, ``v`` (fp): links that connect all near sets, directly or by others."""
     shared = shared_keys(docs)
     chained = shared.filter("prev is not null").select(F.greatest("fp", "prev").alias("u"), F.least("fp", "prev").alias("v"), F.lit(1 << 30).cast("long").alias("n"))
-    first = stored(verified(docs, stored(_enough(chained), "chained")), "links")
+    chained = stored(_enough(chained), "chained")
+    first = verified(docs, chained)
     root = components(first).withColumnsRenamed({"node": "fp"})
     rooted = shared.select("key", "n", "fp").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted.select("key", "n", "fp", "root"), "rooted")
@@ -233,7 +237,10 @@ def near_links(docs: DataFrame) -> DataFrame:
     fits = F.least("na", "nb") * NEAR[1] >= F.greatest("na", "nb") * NEAR[0]
     crossed = (a.join(b, "key").filter((F.col("ra") != F.col("rb")) & (F.col("main") | (F.col("fa") < F.col("fb"))) & fits)
                .select(F.greatest("fa", "fb").alias("u"), F.least("fa", "fb").alias("v"), F.least("na", "nb").alias("n")))
-    return first.unionByName(verified(docs, stored(_enough(crossed), "crossed")))
+    crossed = stored(_enough(crossed), "crossed")
+    second = verified(docs, crossed)
+    freed(shared, chained, rooted, crossed)
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
